@@ -41,10 +41,6 @@ def canonical_code(c: Column) -> Column:
     return F.regexp_replace(c.cast("string"), _SPELLING, "$1$2$3")
 
 
-def missing_to_null(c: Column) -> Column:
-    return F.when(~c.isin(*fixed.MISSING_TOKENS), c)
-
-
 def strip_upper(c: Column) -> Column:
     """Trim every Unicode blank (no-break space too) on both ends, then upper-case."""
     return F.upper(F.trim(c.cast("string"), F.lit(fixed.BLANKS)))

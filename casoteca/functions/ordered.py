@@ -29,8 +29,12 @@ def _block_offsets(block_sums: DataFrame, by: list[str], totals: list[str],
     )
 
 
+def _default_blocks(df: DataFrame) -> int:
+    return max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def running_totals(df: DataFrame, order: str, counts: dict[str, Column], by: list[str] = (),
-                   descending: bool = False, blocks: int = 256) -> DataFrame:
+                   descending: bool = False, blocks: int | None = None) -> DataFrame:
     """Cumulative sums of ``counts`` along the numeric column ``order``.
 
     One row per distinct (``by``, ``order``) with, for every name in
@@ -40,9 +44,11 @@ def running_totals(df: DataFrame, order: str, counts: dict[str, Column], by: lis
     Equal values are summed before the shuffle, so a hot value is one row.
     Block limits are quantiles of the rows, hence no block holds more distinct
     values than its share of the rows. They only steer the distribution of
-    work; results do not depend on them.
+    work; results do not depend on them. There are as many blocks as shuffle
+    tasks, and at least 64.
     """
     by, names = list(by), list(counts)
+    blocks = blocks or _default_blocks(df)
     df = df.filter(F.col(order).isNotNull() & ~F.isnan(F.col(order).cast("double")))
     values = (df.withColumn(order, F.col(order).cast("double")).groupBy(*by, order)
               .agg(*[expr.alias(name) for name, expr in counts.items()]))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from casoteca.operators.cleaning import transform_cases
 from casoteca.sources.files import read_cases, write_cases
 from casoteca.sources.session import wide_rows
-from casoteca.sources.workspace import fingerprint, shared_root
+from casoteca.sources.workspace import fingerprint, path_exists, shared_root
 
 TABLES = ("orders", "customer", "nation")
 
@@ -70,7 +70,7 @@ def _once(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], No
     inputs = fingerprint(spark, [f"{sf_dir}/{t}.parquet" for t in TABLES])
     app = spark.sparkContext.applicationId
     root = f"{shared_root(spark)}/casoteca/{app}/{name}-{inputs}"
-    if root not in _written:
+    if root not in _written or not path_exists(spark, root):
         write(root)
         _written.add(root)
     return root
@@ -88,6 +88,6 @@ def stored_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stored_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cleaned, year-partitioned case table, as an ingest leaves it."""
     def write(root: str) -> None:
-        write_cases(transform_cases(raw_cases(spark, sf_dir)), root)
+        write_cases(transform_cases(raw_cases(spark, sf_dir)), root, rebalance=True)
 
     return read_cases(spark, _once(spark, sf_dir, "cases", write))

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from casoteca.functions import columns as C
 from casoteca.functions import fixed
 from casoteca.sources.session import wide_rows
 from casoteca.sources.workspace import first_file, list_paths, path_exists
@@ -17,6 +16,13 @@ from casoteca.sources.workspace import first_file, list_paths, path_exists
 
 # ---------------------------------------------------------------- CSV
 
+def missing_to_null(column: str) -> str:
+    """SQL of a text column with every "no value" text turned into NULL."""
+    name = "`" + column.replace("`", "``") + "`"
+    tokens = ", ".join(f"'{t}'" for t in fixed.MISSING_TOKENS)
+    return f"CASE WHEN {name} NOT IN ({tokens}) THEN {name} END AS {name}"
+
+
 def csv_scan(spark: SparkSession, path: str | list[str], *, sep: str = ";",
              encoding: str = "ISO-8859-1", multi_line: bool = False) -> DataFrame:
     """Delimited file with a header; all columns text, "no value" texts are NULL.
@@ -27,7 +33,7 @@ def csv_scan(spark: SparkSession, path: str | list[str], *, sep: str = ";",
     raw = (spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
            .option("quote", '"').option("escape", '"').option("multiLine", multi_line)
            .option("inferSchema", False).csv(path))
-    return raw.select(*[C.missing_to_null(F.col(f"`{n}`")).alias(n) for n in raw.columns])
+    return raw.selectExpr(*[missing_to_null(n) for n in raw.columns])
 
 
 def write_csv(df: DataFrame, path: str, *, sep: str = ",", encoding: str = "UTF-8",
@@ -73,8 +79,15 @@ def union_by_name(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def write_cases(cases: DataFrame, root: str) -> None:
-    """Replace the touched years of the case table and leave the others alone."""
+def write_cases(cases: DataFrame, root: str, *, rebalance: bool = False) -> None:
+    """Replace the touched years of the case table and leave the others alone.
+
+    ``rebalance`` is for frames whose tasks mix years: it gathers each year and
+    splits large years by size, so that files are neither tiny nor huge. A frame
+    from the ingest jobs has one year per task and does without that shuffle.
+    """
+    if rebalance:
+        cases = cases.hint("rebalance", "ANO")
     with wide_rows(cases.sparkSession):
         (cases.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("ANO").parquet(root))
