@@ -37,8 +37,19 @@ def to_whole(c: Column, kind: str = "bigint") -> Column:
 
 
 def canonical_code(c: Column) -> Column:
-    """One spelling per number: ``1.0``, ``01`` and `` 1`` become ``1``; other text is kept."""
-    return F.regexp_replace(c.cast("string"), _SPELLING, "$1$2$3")
+    """One spelling per number: ``1.0``, ``01`` and `` 1`` become ``1``; other text is kept.
+
+    Most codes need no change and are told apart by three byte comparisons:
+    blanks, signs, points and zero all sort before ``1``.
+    """
+    text = c.cast("string")
+    suspect = (text < "1") | text.contains(".") | text.endswith(" ")
+    return F.when(suspect, F.regexp_replace(text, _SPELLING, "$1$2$3")).otherwise(text)
+
+
+def answered_yes(c: Column) -> Column:
+    """Code 1 of a yes/no question, in canonical text or as a number column."""
+    return F.coalesce(c.cast("string").isin("1", "1.0"), F.lit(False))
 
 
 def strip_upper(c: Column) -> Column:
@@ -111,7 +122,7 @@ def final_classification(number: Column, filled: Column) -> Column:
 
 def detailed_etiology(lab_columns: dict[str, Column]) -> Column:
     """Agent of the first positive test; a test that does not exist is not negative."""
-    hits = [F.when(to_number(lab_columns[name]) == 1, label)
+    hits = [F.when(answered_yes(lab_columns[name]), label)
             for name, label in fixed.LAB_AGENTS.items() if name in lab_columns]
     return F.coalesce(*hits, F.lit(fixed.NO_AGENT))
 

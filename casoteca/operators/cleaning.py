@@ -128,7 +128,7 @@ def transform_cases(df: DataFrame, year: int | None = None) -> DataFrame:
 
 def total_comorbidities(df: DataFrame) -> DataFrame:
     """Number of whitelisted conditions answered "yes", over the columns that exist."""
-    flags = [F.when(C.to_number(F.col(n)) == 1, 1).otherwise(0)
+    flags = [C.answered_yes(F.col(n)).cast("int")
              for n in fixed.COMORBIDITIES if n in df.columns]
     return df.withColumn("TOTAL_COMORBIDADES", sum(flags, F.lit(0)).cast("int"))
 
@@ -154,7 +154,7 @@ def add_onset_to_notification(df: DataFrame) -> DataFrame:
 
 def add_codetection(df: DataFrame) -> DataFrame:
     """``AGENTES``: every positive agent in priority order; ``N_AGENTES``: how many."""
-    hits = [F.when(C.to_number(F.col(n)) == 1, label)
+    hits = [F.when(C.answered_yes(F.col(n)), label)
             for n, label in fixed.LAB_AGENTS.items() if n in df.columns]
     agents = F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
     return df.withColumn("AGENTES", agents).withColumn("N_AGENTES", F.size("AGENTES"))

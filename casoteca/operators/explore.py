@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from casoteca.functions import columns as C
 from casoteca.functions import fixed
 from casoteca.operators.cleaning import canonical_codes, normalize_column_names
+from casoteca.sources.workspace import cut_lineage
 
 HISTOGRAM_BINS = 30
 DENSITY_POINTS = 200
@@ -53,43 +54,42 @@ def monthly_dense(df: DataFrame, uf: str) -> DataFrame:
     """Monthly counts of the whole table and of one state, gaps filled with zero.
 
     Each series runs from its own first to its own last month and is dated on
-    the month's last day. Rows are reduced to months before anything else.
+    the month's last day. Rows are reduced to months first; the few months of
+    a series then travel as one map, so the table is scanned once and no
+    calendar is joined back.
     """
     counts = (df.filter(F.col("DT_SIN_PRI").isNotNull())
-              .groupBy(F.last_day("DT_SIN_PRI").alias("mes"))
+              .groupBy(F.trunc("DT_SIN_PRI", "month").alias("inicio"))
               .agg(F.count(F.lit(1)).alias("TOTAL"), F.count_if(in_state(df, uf)).alias(uf))
-              .unpivot("mes", ["TOTAL", uf], "serie", "casos").filter(F.col("casos") > 0))
-    months = F.sequence(F.trunc(F.min("mes"), "month"), F.trunc(F.max("mes"), "month"),
-                        F.expr("interval 1 month"))
-    calendar = (counts.groupBy("serie").agg(months.alias("meses"))
-                .select("serie", F.explode("meses").alias("inicio"))
-                .select("serie", F.last_day("inicio").alias("mes")))
-    return (calendar.join(counts, ["serie", "mes"], "left")
-            .select("serie", "mes", F.coalesce("casos", F.lit(0)).alias("casos"))
+              .unpivot("inicio", ["TOTAL", uf], "serie", "n").filter(F.col("n") > 0))
+    months = F.sequence(F.min("inicio"), F.max("inicio"), F.expr("interval 1 month"))
+    series = counts.groupBy("serie").agg(
+        months.alias("meses"),
+        F.map_from_entries(F.collect_list(F.struct("inicio", "n"))).alias("contagens"))
+    filled = F.coalesce(F.try_element_at("contagens", F.col("inicio")), F.lit(0))
+    return (series.select("serie", "contagens", F.explode("meses").alias("inicio"))
+            .select("serie", F.last_day("inicio").alias("mes"), filled.alias("casos"))
             .orderBy("serie", "mes"))
 
 
 def _value_counts(df: DataFrame, column: str) -> DataFrame:
-    """Rows per distinct value; later steps work on this much smaller table."""
-    return (df.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("x"))
-            .agg(F.count(F.lit(1)).alias("n")))
-
-
-def _range(values: DataFrame) -> DataFrame:
-    lo, hi = F.min("x"), F.max("x")
-    pad = F.when(lo == hi, 0.5).otherwise(0.0)
-    return values.agg((lo - pad).alias("lo"), (hi + pad).alias("hi"))
+    """Rows per distinct value, written once: the steps that follow read it several times."""
+    return cut_lineage(
+        df.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("x"))
+        .agg(F.count(F.lit(1)).alias("n")))
 
 
 def age_histogram(df: DataFrame, column: str = "NU_IDADE_N",
                   bins: int = HISTOGRAM_BINS) -> DataFrame:
     """Equal-width bins between minimum and maximum, empty bins included.
 
-    The range is a scalar subquery, so no row is joined to it.
+    The range is a scalar subquery, so no row is joined to it. A single value
+    gets a range of one around it.
     """
     values = _value_counts(df, column)
-    span = _range(values).select("lo", ((F.col("hi") - F.col("lo")) / bins).alias("w"))
-    lo, width = span.select("lo").scalar(), span.select("w").scalar()
+    pad = F.when(F.min("x") == F.max("x"), 0.5).otherwise(0.0)
+    lo = values.agg(F.min("x") - pad).scalar()
+    width = values.agg((F.max("x") - F.min("x") + 2 * pad) / bins).scalar()
     position = F.floor((F.col("x") - lo) / width)
     filled = (values.groupBy(F.least(position, F.lit(bins - 1)).alias("faixa"))
               .agg(F.sum("n").alias("n")))
@@ -112,11 +112,11 @@ def age_density(df: DataFrame, column: str = "NU_IDADE_N", points: int = DENSITY
     values = _value_counts(df, column)
     n, mean = F.sum("n"), F.try_divide(F.sum(F.col("x") * F.col("n")), F.sum("n"))
     squares = F.sum(F.col("x") * F.col("x") * F.col("n"))
-    stats = values.agg(n.alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"),
-                       F.try_divide(squares - mean * mean * n, n - 1).alias("variance"))
-    total, lo = stats.select("n").scalar(), stats.select("lo").scalar()
-    extent = stats.select(F.col("hi") - F.col("lo")).scalar()
-    bandwidth = stats.select(F.sqrt("variance") * F.pow("n", F.lit(-0.2))).scalar()
+    deviation = F.sqrt(F.try_divide(squares - mean * mean * n, n - 1))
+    total = values.agg(n).scalar()
+    lo = values.agg(F.min("x")).scalar()
+    extent = values.agg(F.max("x") - F.min("x")).scalar()
+    bandwidth = values.agg(deviation * F.pow(n, F.lit(-0.2))).scalar()
     grid = F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
     spread = values.select("x", "n", grid.alias("ponto"))
     spread = spread.withColumn("idade", lo + F.col("ponto") * extent / (points - 1))
@@ -138,26 +138,33 @@ def cases_by_sex(df: DataFrame) -> DataFrame:
 
 
 def cases_by_outcome(df: DataFrame) -> DataFrame:
+    """Cases per labelled outcome; rows are counted per code, then named."""
+    known = df.filter(F.col("EVOLUCAO").isin(*fixed.EXPLORATORY_OUTCOME_LABELS))
     label = C.label_of(F.col("EVOLUCAO"), fixed.EXPLORATORY_OUTCOME_LABELS)
-    return value_counts(df.select(label.alias("rotulo")), "rotulo", "evolucao")
+    return (known.groupBy("EVOLUCAO").agg(F.count(F.lit(1)).alias("casos"))
+            .select(label.alias("evolucao"), "casos").orderBy(F.desc("casos"), "evolucao"))
 
 
 def icu_rate_by_band(df: DataFrame) -> DataFrame:
-    """Per cent in intensive care per right-closed age band; "ignored" stays in the base."""
-    banded = (df.na.drop(subset=["UTI", "NU_IDADE_N"])
-              .select(C.exploratory_age_band(F.col("NU_IDADE_N")).alias("faixa_etaria"), "UTI",
-                      "NU_IDADE_N")
-              .filter(F.col("faixa_etaria").isNotNull()))
-    rate = F.avg(F.when(F.col("UTI") == 1, 100.0).otherwise(0.0))
+    """Per cent in intensive care per right-closed age band; "ignored" stays in the base.
+
+    The average skips rows without an answer. Ages outside all bands form a
+    group of their own, dropped after the aggregate: as a filter on rows the
+    band expression would be evaluated once more below the removal of copies.
+    """
+    rate = F.avg(F.when(F.col("UTI") == 1, 100.0).when(F.col("UTI").isNotNull(), 0.0))
+    banded = df.select(C.exploratory_age_band(F.col("NU_IDADE_N")).alias("faixa_etaria"), "UTI",
+                       "NU_IDADE_N")
     return (banded.groupBy("faixa_etaria")
             .agg(rate.alias("taxa_uti"), F.min("NU_IDADE_N").alias("idade_minima"))
+            .filter(F.when(F.col("taxa_uti").isNotNull(), F.col("faixa_etaria")).isNotNull())
             .orderBy("idade_minima").select("faixa_etaria", "taxa_uti"))
 
 
 def comorbidity_prevalence(df: DataFrame) -> DataFrame:
     """Per cent of all rows with each condition, rarest first."""
     present = [n for n in fixed.EXPLORATORY_COMORBIDITIES if n in df.columns]
-    share = [F.avg(F.when(C.to_number(F.col(n)) == 1, 100.0).otherwise(0.0)).alias(n)
+    share = [F.avg(F.when(C.answered_yes(F.col(n)), 100.0).otherwise(0.0)).alias(n)
              for n in present]
     return (df.agg(*share).unpivot([], present, "comorbidade", "percentual")
             .orderBy("percentual", "comorbidade"))
@@ -183,16 +190,14 @@ def cases_by_month(df: DataFrame) -> DataFrame:
 
 def obesity_icu_crosstab(df: DataFrame) -> DataFrame:
     """Share of intensive care among obese and non-obese cases, per cent of each row."""
-    obese = C.label_of(C.to_number(F.col("OBESIDADE")), fixed.OBESITY_LABELS)
-    icu = C.label_of(C.to_number(F.col("UTI")), fixed.ICU_LABELS)
-    yes, no = fixed.ICU_LABELS[1], fixed.ICU_LABELS[2]
-    counts = (df.select(obese.alias("obesidade"), icu.alias("uti"))
-              .na.drop(subset=["obesidade", "uti"])
-              .groupBy("obesidade").pivot("uti", [yes, no]).count().na.fill(0, [yes, no]))
-    total = F.col(yes) + F.col(no)
-    return counts.select("obesidade",
-                         F.bround(F.col(no) / total * 100, 2).alias("uti_nao"),
-                         F.bround(F.col(yes) / total * 100, 2).alias("uti_sim")).orderBy("obesidade")
+    obese, icu = C.to_number(F.col("OBESIDADE")), C.to_number(F.col("UTI"))
+    counts = (df.filter(obese.isin(*fixed.OBESITY_LABELS) & icu.isin(*fixed.ICU_LABELS))
+              .groupBy(obese.alias("codigo"))
+              .agg(F.count(F.lit(1)).alias("n"), F.count_if(icu == 1).alias("sim")))
+    return counts.select(
+        C.label_of(F.col("codigo"), fixed.OBESITY_LABELS).alias("obesidade"),
+        F.bround((F.col("n") - F.col("sim")) / F.col("n") * 100, 2).alias("uti_nao"),
+        F.bround(F.col("sim") / F.col("n") * 100, 2).alias("uti_sim")).orderBy("obesidade")
 
 
 def target_rates(df: DataFrame, label: str = "label") -> DataFrame:

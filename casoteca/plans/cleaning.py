@@ -64,10 +64,12 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("temporal", over_cases(
-    "SELECT CASE_ID, DATA_INICIO_SINTOMAS, MES, SEMANA_EPIDEMIOLOGICA FROM cases"))
+    "SELECT CASE_ID, cast(DATA_INICIO_SINTOMAS AS string) AS DATA_INICIO_SINTOMAS, MES, "
+    "SEMANA_EPIDEMIOLOGICA FROM cases"))
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return cleaning.add_calendar(cleaning.clean_raw(raw_cases(spark, sf))).select(
-        "CASE_ID", "DATA_INICIO_SINTOMAS", "MES", "SEMANA_EPIDEMIOLOGICA")
+        "CASE_ID", F.col("DATA_INICIO_SINTOMAS").cast("string").alias("DATA_INICIO_SINTOMAS"),
+        "MES", "SEMANA_EPIDEMIOLOGICA")
 
 
 @query("etiology_columns", over_cases(
@@ -79,10 +81,12 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("transform_cases", over_cases(
     "SELECT * EXCLUDE (n_unit, n_age, n_outcome, n_icu, n_class, n_code, n_week) "
-    "REPLACE (round(IDADE_ANOS, 6) AS IDADE_ANOS) FROM cases"))
+    "REPLACE (round(IDADE_ANOS, 6) AS IDADE_ANOS, "
+    "cast(DATA_INICIO_SINTOMAS AS string) AS DATA_INICIO_SINTOMAS) FROM cases"))
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return cleaning.transform_cases(raw_cases(spark, sf)).withColumn(
-        "IDADE_ANOS", F.round("IDADE_ANOS", 6))
+    return cleaning.transform_cases(raw_cases(spark, sf)).withColumns({
+        "IDADE_ANOS": F.round("IDADE_ANOS", 6),
+        "DATA_INICIO_SINTOMAS": F.col("DATA_INICIO_SINTOMAS").cast("string")})
 
 
 @query("unify_categorical_types", over_cases(f"""

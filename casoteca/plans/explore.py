@@ -25,9 +25,12 @@ def _rounded(df: DataFrame, *names: str) -> DataFrame:
 _KEPT = ["CASE_ID", "DT_SIN_PRI", "DT_NOTIFIC", "NU_IDADE_N", "CS_SEXO", "EVOLUCAO", "UTI"]
 
 
-@query("legacy_clean", over_cases(f"SELECT {', '.join(_KEPT)} FROM explore"))
+@query("legacy_clean", over_cases(
+    "SELECT " + ", ".join(f"cast({n} AS string) AS {n}" if n.startswith("DT_") else n
+                          for n in _KEPT) + " FROM explore"))
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return _clean(spark, sf).select(*_KEPT)
+    return _clean(spark, sf).select(*[
+        F.col(n).cast("string").alias(n) if n.startswith("DT_") else n for n in _KEPT])
 
 
 @query("legacy_uf_share", over_cases(f"""
@@ -48,10 +51,10 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
       SELECT serie, last_day(unnest(generate_series(date_trunc('month', min(mes))::timestamp,
         date_trunc('month', max(mes))::timestamp, interval 1 month))::date) AS mes
       FROM counts GROUP BY serie)
-    SELECT serie, mes, cast(coalesce(n, 0) AS bigint) AS casos
+    SELECT serie, cast(mes AS string) AS mes, cast(coalesce(n, 0) AS bigint) AS casos
     FROM calendar LEFT JOIN counts USING (serie, mes) ORDER BY serie, mes"""))
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return E.monthly_dense(_clean(spark, sf), STATE)
+    return E.monthly_dense(_clean(spark, sf), STATE).withColumn("mes", F.col("mes").cast("string"))
 
 
 @query("age_histogram", over_cases("""

@@ -12,7 +12,6 @@ from casoteca.plans.typed_sql import over_cases
 from casoteca.sources.derived import stored_cases, stored_raw
 from casoteca.sources.workspace import new_folder
 
-STATE = "NATION_7"
 # Ensemble size of the registered queries; the functions default to the full benchmark sizes.
 SIZE = models.Size().shrunk(5)
 
@@ -384,8 +383,7 @@ def _patient(spark: SparkSession, sf: str) -> models.PatientData:
 
 
 def _state_benchmark(spark: SparkSession, sf: str) -> models.StateBenchmark:
-    rows = explore.filter_state(_state_rows(spark, sf), STATE)
-    return models.state_benchmark(rows, "EVOLUCAO", size=SIZE)
+    return models.state_benchmark(_state_rows(spark, sf), "EVOLUCAO", size=SIZE)
 
 
 @query("model_comparison")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from casoteca.sources.session import wide_rows
 
 _SETTING = "spark.checkpoint.dir"
+_local_roots: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -24,9 +25,10 @@ def shared_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"Set {_SETTING} to a folder that every executor can reach.")
-    root = tempfile.mkdtemp(prefix="casoteca-")
-    spark.conf.set(_SETTING, root)
-    return root
+    app = spark.sparkContext.applicationId
+    if app not in _local_roots:
+        _local_roots[app] = tempfile.mkdtemp(prefix="casoteca-")
+    return _local_roots[app]
 
 
 def new_folder(spark: SparkSession, purpose: str) -> str:
