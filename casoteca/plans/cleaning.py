@@ -110,8 +110,8 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 @query("total_comorbidities", over_cases("""
     SELECT CASE_ID, cast((CARDIOPATI = '1')::int + (DIABETES = '1')::int
       + (OBESIDADE = '1')::int + (ASMA = '1')::int AS int) AS TOTAL_COMORBIDADES
-    FROM (SELECT CASE_ID, coalesce(CARDIOPATI, '') AS CARDIOPATI, coalesce(DIABETES, '') AS DIABETES,
-                 coalesce(OBESIDADE, '') AS OBESIDADE, coalesce(ASMA, '') AS ASMA FROM cases)"""))
+    FROM (SELECT CASE_ID, coalesce(CARDIOPATI, '') AS CARDIOPATI,
+                 coalesce(DIABETES, '') AS DIABETES, coalesce(OBESIDADE, '') AS OBESIDADE, coalesce(ASMA, '') AS ASMA FROM cases)"""))
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return cleaning.total_comorbidities(stored_cases(spark, sf)).select(
         "CASE_ID", "TOTAL_COMORBIDADES")
@@ -119,7 +119,8 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("region_feature", over_cases("""
     SELECT c.CASE_ID, c.UF, r.r_name AS REGIAO FROM cases c
-    LEFT JOIN nation n ON upper(n.n_name) = c.UF LEFT JOIN region r ON r.r_regionkey = n.n_regionkey"""))
+    LEFT JOIN nation n ON upper(n.n_name) = c.UF
+    LEFT JOIN region r ON r.r_regionkey = n.n_regionkey"""))
 def _(spark: SparkSession, sf: str) -> DataFrame:
     region = spark.read.parquet(f"{sf}/region.parquet")
     nation = tables(spark, sf)["nation"]

@@ -8,16 +8,12 @@ from pyspark.sql import functions as F
 from casoteca.operators import explore as E
 from casoteca.plans.registry import query
 from casoteca.plans.typed_sql import count_if, over_cases
-from casoteca.sources.derived import stored_raw
+from casoteca.sources.derived import raw_cases, stored_explored
 
 STATE = "NATION_7"
 CASES = "cast(count(*) AS bigint)"
 
 
-def _clean(spark: SparkSession, sf: str) -> DataFrame:
-    return E.exploratory_clean(stored_raw(spark, sf))
-
-
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(n, 6) for n in names})
 
@@ -29,7 +25,7 @@ _KEPT = ["CASE_ID", "DT_SIN_PRI", "DT_NOTIFIC", "NU_IDADE_N", "CS_SEXO", "EVOLUC
     "SELECT " + ", ".join(f"cast({n} AS string) AS {n}" if n.startswith("DT_") else n
                           for n in _KEPT) + " FROM explore"))
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return _clean(spark, sf).select(*[
+    return E.exploratory_clean(raw_cases(spark, sf)).select(*[
         F.col(n).cast("string").alias(n) if n.startswith("DT_") else n for n in _KEPT])
 
 
@@ -38,7 +34,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
       round_even({count_if(f"upper(SG_UF) = '{STATE}'")} / cast(count(*) AS double) * 100, 1)
         AS percentual FROM explore"""))
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return E.state_share(_clean(spark, sf), STATE)
+    return E.state_share(stored_explored(spark, sf), STATE)
 
 
 @query("monthly_dense_vs_uf", over_cases(f"""
@@ -54,7 +50,8 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     SELECT serie, cast(mes AS string) AS mes, cast(coalesce(n, 0) AS bigint) AS casos
     FROM calendar LEFT JOIN counts USING (serie, mes) ORDER BY serie, mes"""))
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return E.monthly_dense(_clean(spark, sf), STATE).withColumn("mes", F.col("mes").cast("string"))
+    series = E.monthly_dense(stored_explored(spark, sf), STATE)
+    return series.withColumn("mes", F.col("mes").cast("string"))
 
 
 @query("age_histogram", over_cases("""
@@ -66,7 +63,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
       cast(coalesce(n, 0) AS bigint) AS casos
     FROM range(30) r(i) CROSS JOIN span LEFT JOIN filled ON faixa = r.i ORDER BY faixa"""))
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(E.age_histogram(_clean(spark, sf)), "inicio", "fim")
+    return _rounded(E.age_histogram(stored_explored(spark, sf)), "inicio", "fim")
 
 
 @query("age_density", over_cases("""
@@ -83,7 +80,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
         * any_value(n) * (any_value(hi) - any_value(lo)) / 30, 4) AS frequencia
     FROM g, v GROUP BY ponto, idade ORDER BY ponto"""))
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    density = _rounded(E.age_density(_clean(spark, sf)), "idade", "densidade")
+    density = _rounded(E.age_density(stored_explored(spark, sf)), "idade", "densidade")
     return density.withColumn("frequencia", F.round("frequencia", 4))
 
 
@@ -91,7 +88,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     f"SELECT CS_SEXO AS sexo, {CASES} AS casos FROM explore WHERE CS_SEXO IS NOT NULL "
     "GROUP BY ALL ORDER BY casos DESC"))
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return E.cases_by_sex(_clean(spark, sf))
+    return E.cases_by_sex(stored_explored(spark, sf))
 
 
 @query("cases_by_outcome", over_cases(f"""
@@ -99,7 +96,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
       WHEN 9 THEN 'Ignorado' END AS evolucao, {CASES} AS casos FROM explore
     WHERE EVOLUCAO IN (1, 2, 3, 9) GROUP BY ALL ORDER BY casos DESC"""))
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return E.cases_by_outcome(_clean(spark, sf))
+    return E.cases_by_outcome(stored_explored(spark, sf))
 
 
 @query("legacy_icu_rate_by_band", over_cases("""
@@ -110,7 +107,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
       round(avg(CASE WHEN UTI = 1 THEN 100.0::double ELSE 0 END), 6) AS taxa_uti
     FROM explore WHERE UTI IS NOT NULL AND NU_IDADE_N > 0 GROUP BY ALL"""))
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(E.icu_rate_by_band(_clean(spark, sf)), "taxa_uti")
+    return _rounded(E.icu_rate_by_band(stored_explored(spark, sf)), "taxa_uti")
 
 
 @query("comorbidity_prevalence", over_cases("""
@@ -122,21 +119,21 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
                 count(*) FILTER (WHERE ASMA = '1') * 100.0::double / count(*)]) AS p
       FROM explore) ORDER BY percentual"""))
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(E.comorbidity_prevalence(_clean(spark, sf)), "percentual")
+    return _rounded(E.comorbidity_prevalence(stored_explored(spark, sf)), "percentual")
 
 
 @query("top_municipalities", over_cases(f"""
     SELECT ID_MUNICIP AS municipio, {CASES} AS casos FROM explore WHERE ID_MUNICIP IS NOT NULL
     GROUP BY ALL ORDER BY casos DESC, municipio LIMIT 15"""))
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return E.top_municipalities(_clean(spark, sf))
+    return E.top_municipalities(stored_explored(spark, sf))
 
 
 @query("cases_by_month", over_cases(f"""
     SELECT strftime(DT_SIN_PRI, '%Y-%m') AS ano_mes, {CASES} AS casos FROM explore
     WHERE DT_SIN_PRI IS NOT NULL GROUP BY ALL ORDER BY ano_mes"""))
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return E.cases_by_month(_clean(spark, sf))
+    return E.cases_by_month(stored_explored(spark, sf))
 
 
 @query("cases_deaths_by_month", over_cases(f"""
@@ -144,7 +141,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
       {count_if("EVOLUCAO = 2")} AS obitos FROM explore
     WHERE DT_SIN_PRI IS NOT NULL GROUP BY ALL ORDER BY ano_mes"""))
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return E.cases_deaths_by_month(_clean(spark, sf))
+    return E.cases_deaths_by_month(stored_explored(spark, sf))
 
 
 @query("obesity_icu_crosstab", over_cases("""
@@ -153,4 +150,4 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
       round_even(count(*) FILTER (WHERE UTI = 1) / cast(count(*) AS double) * 100, 2) AS uti_sim
     FROM explore WHERE OBESIDADE IN ('1', '2') AND UTI IN (1, 2) GROUP BY ALL"""))
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return E.obesity_icu_crosstab(_clean(spark, sf))
+    return E.obesity_icu_crosstab(stored_explored(spark, sf))

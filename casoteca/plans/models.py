@@ -9,7 +9,7 @@ from casoteca.ml import dataset, evaluate, models, preprocess, split
 from casoteca.operators import explore
 from casoteca.plans.registry import query
 from casoteca.plans.typed_sql import over_cases
-from casoteca.sources.derived import stored_cases, stored_raw
+from casoteca.sources.derived import stored_cases, stored_explored
 from casoteca.sources.workspace import new_folder
 
 # Ensemble size of the registered queries; the functions default to the full benchmark sizes.
@@ -137,16 +137,12 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---------------------------------------------------------------- state-level benchmark
 
-def _state_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return explore.exploratory_clean(stored_raw(spark, sf))
-
-
 @query("legacy_targets", over_cases("""
     SELECT CASE_ID, 'EVOLUCAO' AS alvo, cast(EVOLUCAO = 2 AS int) AS label FROM explore
     WHERE EVOLUCAO IN (1, 2)
     UNION ALL SELECT CASE_ID, 'UTI', cast(UTI = 1 AS int) FROM explore WHERE UTI IN (1, 2)"""))
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _state_rows(spark, sf)
+    rows = stored_explored(spark, sf)
     parts = [dataset.state_target(rows, t).select("CASE_ID", F.lit(t).alias("alvo"), "label")
              for t in ("EVOLUCAO", "UTI")]
     return parts[0].union(parts[1])
@@ -167,7 +163,7 @@ _STATE_NUMBERS = ("NU_IDADE_N", "FEBRE", "DISPNEIA", "CARDIOPATI", "DIABETES", "
     FROM base, mode_CS_SEXO WHERE coalesce(CS_SEXO, v) <>
       (SELECT min(coalesce(CS_SEXO, v)) FROM base, mode_CS_SEXO)"""))
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    matrix, names = models.state_matrix(_state_rows(spark, sf), "EVOLUCAO", "CASE_ID")
+    matrix, names = models.state_matrix(stored_explored(spark, sf), "EVOLUCAO", "CASE_ID")
     return preprocess.long_form(matrix, names, ["CASE_ID"])
 
 
@@ -297,7 +293,8 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 def _report_sql(t: str) -> str:
     def line(name: str, p: str, r: str, f: str, n: str) -> str:
         return (f"SELECT round({t}, 6) AS limiar, '{name}' AS classe, round({p}, 6) AS precisao, "
-                f"round({r}, 6) AS recall, round({f}, 6) AS f1, cast({n} AS bigint) AS suporte FROM k")
+                f"round({r}, 6) AS recall, round({f}, 6) AS f1, "
+                f"cast({n} AS bigint) AS suporte FROM k")
     rows = [line("sobrevivente", "p0", "r0", "f0", "n0"), line("obito", "p1", "r1", "f1", "n1"),
             line("accuracy", "a", "a", "a", "n0 + n1"),
             line("macro avg", "(p0 + p1) / 2", "(r0 + r1) / 2", "(f0 + f1) / 2", "n0 + n1"),
@@ -383,7 +380,7 @@ def _patient(spark: SparkSession, sf: str) -> models.PatientData:
 
 
 def _state_benchmark(spark: SparkSession, sf: str) -> models.StateBenchmark:
-    return models.state_benchmark(_state_rows(spark, sf), "EVOLUCAO", size=SIZE)
+    return models.state_benchmark(stored_explored(spark, sf), "EVOLUCAO", size=SIZE)
 
 
 @query("model_comparison")

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from casoteca.operators.cleaning import transform_cases
+from casoteca.operators.explore import exploratory_clean
 from casoteca.sources.files import read_cases, write_cases
 from casoteca.sources.session import wide_rows
 from casoteca.sources.workspace import fingerprint, path_exists, shared_root
@@ -77,7 +78,7 @@ def _once(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], No
 
 
 def stored_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The raw records as a written table, as the exploratory tables read one file."""
+    """The raw records as a written table."""
     def write(root: str) -> None:
         with wide_rows(spark):
             raw_cases(spark, sf_dir).write.mode("overwrite").parquet(root)
@@ -85,6 +86,19 @@ def stored_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(_once(spark, sf_dir, "raw", write))
 
 
+def stored_explored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records after exploratory cleaning.
+
+    Its removal of copies shuffles whole rows; written once, every table and
+    model that follows reads only the columns it needs.
+    """
+    def write(root: str) -> None:
+        with wide_rows(spark):
+            exploratory_clean(raw_cases(spark, sf_dir)).write.mode("overwrite").parquet(root)
+
+    return spark.read.parquet(_once(spark, sf_dir, "explored", write))
+
+
 def stored_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cleaned, year-partitioned case table, as an ingest leaves it."""
     def write(root: str) -> None:
