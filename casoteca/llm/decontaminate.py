@@ -27,8 +27,9 @@ BLOCK_BYTES = 16 << 20
 def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts, and the index of each text's first word."""
     data, offsets = text_bytes(column)
+    data = LOWER[data]
     start, end, first = word_bounds(data, offsets, ALNUM)
-    return hashes(LOWER[data], start, end), first
+    return hashes(data, start, end), first
 
 
 def suffix_array(ids: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray:
