@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -121,6 +122,12 @@ class Encoder:
         return spread(self.known.values, begin, size, which), n[first[1:]] - n[first[:-1]]
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """The encoder of this worker process; tasks that follow know the units of earlier ones."""
+    return Encoder(path)
+
+
 BLOCK_SCHEMA = ("shard int, block int, n_docs int, n_ids long, width int, ids binary, docs binary, "
                 "low_bits int, low binary, high binary, counts binary")
 
@@ -138,7 +145,7 @@ def write_token_files(documents: DataFrame, folder: str, tokenizer: str, end_id:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, shard = Encoder(tokenizer), TaskContext.get().partitionId()
+        encoder, shard = _encoder(tokenizer), TaskContext.get().partitionId()
         width = 2 if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         for block, part in enumerate(parts(batches)):
             data, offsets = text_bytes(part["text"])
