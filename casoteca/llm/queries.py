@@ -8,7 +8,7 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from casoteca.llm import decontaminate, token_files
+from casoteca.llm import decontaminate, pieces, token_files
 from casoteca.sources.workspace import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,3 +47,15 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"),
                                        table(spark, sf_dir, "benchmark"))
+
+
+@query("op6_token_counts")
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.token_counts(table(spark, sf_dir, "documents"),
+                               public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op7_unigram_pieces")
+def op7_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.piece_digests(table(spark, sf_dir, "documents"),
+                                public_tokenizers.path("piece_bpe_32k.model"))
