@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import (ArrayType, DoubleType, IntegerType, StringType, StructField,
+                               StructType)
 
 from casoteca.llm.text import parts, segments, sums, text_bytes
 from casoteca.llm.units import Known, cut, distinct, spread, unit_texts
@@ -481,10 +483,8 @@ def encode_pieces(documents: DataFrame, model: str, id_column: str = "doc_id",
                 [*(part[c] for c in names), lists, pa.array(score), pa.array(decoded, pa.string())],
                 [*names, "ids", "score", "decoded"])
 
-    from pyspark.sql.types import StructType
-
-    schema = StructType.fromJson(documents.schema.jsonValue()).add("ids", "array<int>") \
-        .add("score", "double").add("decoded", "string")
+    schema = StructType([*documents.schema, StructField("ids", ArrayType(IntegerType())),
+                         StructField("score", DoubleType()), StructField("decoded", StringType())])
     if len(set(map(str.lower, schema.names))) < len(schema.names):
         raise ValueError("the documents already have a column named ids, score or decoded")
     return documents.withColumn("_marked", marked(F.col(text_column))).mapInArrow(run, schema)

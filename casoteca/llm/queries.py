@@ -8,7 +8,7 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from casoteca.llm import decontaminate, pieces, token_files
+from casoteca.llm import decontaminate, pieces, token_files, toxicity, vectors
 from casoteca.sources.workspace import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,3 +59,13 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_digests(table(spark, sf_dir, "documents"),
                                 public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op1_toxicity_chain")
+def op1_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op9_pca_tiled_vectors")
+def op9_pca_tiled_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
