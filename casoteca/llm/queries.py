@@ -8,7 +8,7 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from casoteca.llm import decontaminate, pieces, token_files, toxicity, vectors
+from casoteca.llm import decontaminate, minhash, pieces, token_files, toxicity, vectors
 from casoteca.sources.workspace import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,3 +69,8 @@ def op1_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_pca_tiled_vectors")
 def op9_pca_tiled_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op10_super_minhash")
+def op10_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))

@@ -14,12 +14,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casoteca.llm.text import LOWER, byte_table, hashes, parts, segments, text_bytes, word_bounds
+from casoteca.llm.text import LOWER, byte_table, hashes, parts, text_bytes, word_bounds
 from casoteca.sources.workspace import cut_lineage
 
 #: Words of the features: everything but ASCII signs and white space.
@@ -30,6 +29,8 @@ BUCKETS = 1 << 18
 #: Labelled rows that a fit takes at most, chosen by a hash of their id.
 MAX_LABELLED = 20_000
 FOLDS = 3
+#: Features that a fit keeps, and the partitions of its bounded table.
+MAX_FEATURES, FIT_PARTITIONS = 4096, 6
 
 
 def features(column: pa.Array, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
@@ -108,39 +109,54 @@ def train(documents: DataFrame, labels: DataFrame, categories: dict[str, str],
     marks = marks.withColumn("order", F.xxhash64("id")).orderBy("order", "id").limit(max_labelled)
     texts = documents.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
     rows = texts.join(F.broadcast(marks), "id")      # at most ``max_labelled`` rows of three numbers
-    table = cut_lineage(_vectors(rows, buckets))
-    width = buckets + len(names)
-
-    @F.udf(VectorUDT())
-    def vector(index, earlier):
-        return SparseVector(width, [*index, *range(buckets, buckets + len(earlier))],
-                            [1.0] * len(index) + list(earlier))
+    table = cut_lineage(_vectors(rows, buckets).coalesce(FIT_PARTITIONS))
 
     def fit(rows: DataFrame, c: int) -> tuple[np.ndarray, float]:
+        """Weights of all buckets and the categories before, and the intercept."""
         share = rows.agg(F.avg(f"y{c}")).first()[0]
         if share is None or share in (0.0, 1.0):
-            return np.zeros(width), -30.0 if not share else 30.0
-        model = LogisticRegression(featuresCol="x", labelCol=f"y{c}", maxIter=30, regParam=2e-3,
-                                   elasticNetParam=0.5, standardization=False).fit(rows)
-        return model.coefficients.toArray(), float(model.intercept)
+            return np.zeros(buckets + c), -30.0 if not share else 30.0
+        chosen = _telling(rows, c, share)
+        width = len(chosen) + c
+
+        @F.udf(VectorUDT())
+        def vector(index, earlier):
+            at = np.searchsorted(chosen, index)
+            at = at[(at < len(chosen)) & (chosen[np.minimum(at, len(chosen) - 1)] == np.asarray(index))] \
+                if len(index) and len(chosen) else np.zeros(0, np.int64)
+            return SparseVector(width, [*at.tolist(), *range(len(chosen), width)],
+                                [1.0] * len(at) + list(earlier))
 
-    def vectors(rows: DataFrame, c: int) -> DataFrame:
         earlier = F.array(*(F.col(f"p{i}") for i in range(c))) if c else F.array().cast("array<double>")
-        return rows.withColumn("x", vector("index", earlier))
+        model = LogisticRegression(featuresCol="x", labelCol=f"y{c}", maxIter=40, regParam=2e-4,
+                                   elasticNetParam=0.5, standardization=False) \
+            .fit(rows.select(f"y{c}", vector("index", earlier).alias("x")))
+        found = model.coefficients.toArray()
+        weights = np.zeros(buckets + c)
+        weights[chosen], weights[buckets:] = found[:len(chosen)], found[len(chosen):]
+        return weights, float(model.intercept)
 
     fold = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(folds))
     chain = Chain(names, np.zeros((len(names), buckets)), [], np.zeros(len(names)))
     for c in range(len(names)):
-        ready = cut_lineage(vectors(table, c))
-        weights, chain.intercept[c] = fit(ready, c)
+        weights, chain.intercept[c] = fit(table, c)
         chain.words[c] = weights[:buckets]
-        chain.earlier.append(weights[buckets:buckets + c])
+        chain.earlier.append(weights[buckets:])
         if c + 1 < len(names):
-            models = [fit(ready.where(fold != k), c) for k in range(folds)]
+            models = [fit(table.where(fold != k), c) for k in range(folds)]
             table = cut_lineage(_out_of_fold(table, models, fold, buckets, c))
     return chain
 
 
+def _telling(rows: DataFrame, c: int, share: float) -> np.ndarray:
+    """The features that depart most from the category's share, by chi-square over the rows."""
+    met = rows.select(F.explode("index").alias("index"), F.col(f"y{c}").alias("y")) \
+        .groupBy("index").agg(F.count("*").alias("n"), F.sum("y").alias("k")).where("n >= 3")
+    departs = F.pow(F.col("k") - F.col("n") * share, 2) / F.col("n")
+    best = met.orderBy(departs.desc(), "index").limit(MAX_FEATURES).select("index").collect()
+    return np.array(sorted(r[0] for r in best), np.int64)
+
+
 def _out_of_fold(table: DataFrame, models: list[tuple[np.ndarray, float]], fold, buckets: int,
                  c: int) -> DataFrame:
     """Adds p<c>: each row's probability by the model that was fitted without its fold."""
