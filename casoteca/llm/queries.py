@@ -8,7 +8,7 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from casoteca.llm import decontaminate, minhash, pieces, token_files, toxicity, vectors
+from casoteca.llm import decontaminate, minhash, pieces, repeats, token_files, toxicity, vectors
 from casoteca.sources.workspace import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,3 +74,8 @@ def op9_pca_tiled_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_super_minhash")
 def op10_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op2_de_bruijn_repeats")
+def op2_de_bruijn_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")

@@ -208,7 +208,7 @@ def score(documents: DataFrame, chain: Chain, buckets: int = BUCKETS, id_column:
 #: The chain of the labelled tables: poor texts first, then toxic ones.
 CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
 #: Probability from which a document counts as toxic.
-THRESHOLD = 0.5
+THRESHOLD = 0.4
 
 
 def toxic_documents(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
