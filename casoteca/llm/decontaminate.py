@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from casoteca.llm.text import ALNUM, LOWER, hashes, parts, text_bytes, word_bounds
 
@@ -250,9 +251,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
         F.col(id_column).alias("row"), F.col(text_column).cast("string").alias("text"),
         F.lit(b"").alias("hit"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"),
         F.array().cast("array<long>").alias("items"), F.lit(0).cast("long").alias("longest"))
-    kind = found.schema["row"].dataType.simpleString()
-    schema = (f"row {kind}, text string, hit binary, n_words long, n_hit long, items array<long>, "
-              "longest long")
+    schema = StructType([found.schema["row"], *StructType.fromDDL(
+        "text string, hit binary, n_words long, n_hit long, items array<long>, longest long")])
     bounds = _blocks(benchmark, item_column, item_text) or [(0, -1)]
     for low, high in bounds:
         block = benchmark.select(F.col(item_column).cast("long"), F.col(item_text).cast("string")) \

@@ -8,7 +8,8 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from casoteca.llm import decontaminate, minhash, pieces, repeats, token_files, toxicity, vectors
+from casoteca.llm import (decontaminate, minhash, pieces, repeats, token_files, toxicity, transcripts,
+                          vectors)
 from casoteca.sources.workspace import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,3 +80,10 @@ def op10_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_de_bruijn_repeats")
 def op2_de_bruijn_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query("op3_transcript_roles")
+def op3_transcript_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcripts made of all conversations, their roles recovered without looking at them."""
+    turns = transcripts.raw_turns(table(spark, sf_dir, "conversations"))
+    return transcripts.summary(transcripts.parse(turns, transcripts.train(turns)))

@@ -25,8 +25,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from casoteca.llm.text import SPACED, hashes, mix, parts, segments, text_bytes, windows, word_bounds
 from casoteca.sources.workspace import cut_lineage
@@ -245,9 +246,9 @@ def _paths(repeats: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, _REPEATS)
 
 
-_RESULT = ("doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept string, "
-           "doc long, starts array<int>, counts array<int>, sources array<long>, ats array<int>, "
-           "digests array<binary>, asked array<binary>")
+_RESULT_TYPES = StructType.fromDDL(
+    "n_words long, n_removed long, kept_sha256 string, kept string, doc long, starts array<int>, "
+    "counts array<int>, sources array<long>, ats array<int>, digests array<binary>, asked array<binary>")
 
 
 def _measure(documents: DataFrame, paths: DataFrame, keep_text: bool) -> DataFrame:
@@ -297,10 +298,10 @@ def _measure(documents: DataFrame, paths: DataFrame, keep_text: bool) -> DataFra
                      pa.list_(pa.binary()), pa.list_(pa.binary())]
             cols = [pa.array(v, t) for v, t in zip(out.values(), types)]
             yield pa.RecordBatch.from_arrays([part["row"], *cols[:4], part["id"], *cols[4:]],
-                                             [x.split()[0] for x in _RESULT.split(", ")])
+                                             ["doc_id", *_RESULT_TYPES.names])
 
-    kind = documents.schema["row"].dataType.simpleString()
-    return joined.mapInArrow(run, _RESULT.format(kind=kind))
+    schema = StructType([StructField("doc_id", documents.schema["row"].dataType), *_RESULT_TYPES])
+    return joined.mapInArrow(run, schema)
 
 
 def _stamp(start: int, count: int, digest: bytes) -> bytes:
@@ -320,7 +321,7 @@ def _joined_words(data: np.ndarray, raw: bytes, start: np.ndarray, end: np.ndarr
 
 
 def remove_repeats(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text",
-                   keep_text: bool = False, attempts: int = 3) -> DataFrame:
+                   keep_text: bool = False, attempts: int = 3, row: Column | None = None) -> DataFrame:
     """Removes every word covered by a window of 20 words that also starts earlier.
 
     Words are split at white space and unchanged. Earlier means a smaller
@@ -328,17 +329,22 @@ def remove_repeats(documents: DataFrame, id_column: str = "doc_id", text_column:
     on the input. Returns per document row: the id, n_words, n_removed,
     kept_sha256 (of the kept words joined by one space), kept (that text, if
     ``keep_text``). NULL and empty texts have no words. Rows without an id keep all
-    their words and are no source. Ids are taken as unique. Other columns are not
-    looked at.
+    their words and are no source; so do all rows of a repeated id but the one with
+    the smallest text. Other columns are not looked at; ``row``, if given, is
+    returned in place of the id.
     """
-    rows = documents.select(F.col(id_column).alias("row"), F.col(id_column).cast("long").alias("id"),
+    given = F.col(id_column) if row is None else row
+    rows = documents.select(given.alias("row"), F.col(id_column).cast("long").alias("id"),
                             F.col(text_column).cast("string").alias("text"))
+    if not rows.where("id is not null").groupBy("id").count().where("count > 1").isEmpty():
+        first = F.row_number().over(Window.partitionBy("id").orderBy("text")) == 1
+        rows = rows.withColumn("id", F.when(first, F.col("id")))
     for seed in range(attempts):
         edges = _edges(rows.where("id is not null").select("id", "text"), 100 * seed)
         paths = cut_lineage(_paths(_first_occurrences(edges)))
         found = cut_lineage(_measure(rows, paths, keep_text))
         if not _mismatches(found):
-            return found.select(F.col("doc_id").alias(id_column), "n_words", "n_removed", "kept_sha256", "kept")
+            return found.select(F.col("doc_id").alias(id_column if row is None else "row"), "n_words", "n_removed", "kept_sha256", "kept")
     raise RuntimeError("edge hashes collided in every attempt; raise EDGE_BYTES")
 
 
@@ -348,6 +354,6 @@ def _mismatches(found: DataFrame) -> int:
         .select("x.sources", "x.ats", "x.counts", "x.digests").distinct()
     asked = found.select("doc", F.explode("asked").alias("stamp")).distinct()
     stamps = spans.select(F.col("sources").alias("doc"), "ats", "counts", "digests")
-    little = F.udf(_stamp, "binary")
-    return stamps.select("doc", little("ats", "counts", "digests").alias("stamp")) \
+    stamp = F.udf(lambda at, count, digest: _stamp(at, count, bytes(digest)), "binary")
+    return stamps.select("doc", stamp("ats", "counts", "digests").alias("stamp")) \
         .join(asked, ["doc", "stamp"], "left_anti").count()

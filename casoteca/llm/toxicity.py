@@ -17,6 +17,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from casoteca.llm.text import LOWER, byte_table, hashes, parts, text_bytes, word_bounds
 from casoteca.sources.workspace import cut_lineage
@@ -200,8 +201,8 @@ def score(documents: DataFrame, chain: Chain, buckets: int = BUCKETS, id_column:
             yield pa.RecordBatch.from_arrays([part["row"], *(pa.array(x) for x in p.T)], ["row", *names])
 
     rows = documents.select(F.col(id_column).alias("row"), F.col(text_column).cast("string").alias("text"))
-    kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(run, ", ".join([f"row {kind}", *(f"{n} double" for n in names)])) \
+    schema = StructType([rows.schema["row"], *(StructField(n, DoubleType()) for n in names)])
+    return rows.mapInArrow(run, schema) \
         .withColumnRenamed("row", id_column)
 
 
