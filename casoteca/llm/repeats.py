@@ -246,9 +246,8 @@ def _paths(repeats: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, _REPEATS)
 
 
-_RESULT_TYPES = StructType.fromDDL(
-    "n_words long, n_removed long, kept_sha256 string, kept string, doc long, starts array<int>, "
-    "counts array<int>, sources array<long>, ats array<int>, digests array<binary>, asked array<binary>")
+_RESULT = ("n_words long, n_removed long, kept_sha256 string, kept string, doc long, starts array<int>, "
+           "counts array<int>, sources array<long>, ats array<int>, digests array<binary>, asked array<binary>")
 
 
 def _measure(documents: DataFrame, paths: DataFrame, keep_text: bool) -> DataFrame:
@@ -298,9 +297,9 @@ def _measure(documents: DataFrame, paths: DataFrame, keep_text: bool) -> DataFra
                      pa.list_(pa.binary()), pa.list_(pa.binary())]
             cols = [pa.array(v, t) for v, t in zip(out.values(), types)]
             yield pa.RecordBatch.from_arrays([part["row"], *cols[:4], part["id"], *cols[4:]],
-                                             ["doc_id", *_RESULT_TYPES.names])
+                                             ["doc_id", *(x.split()[0] for x in _RESULT.split(", "))])
 
-    schema = StructType([StructField("doc_id", documents.schema["row"].dataType), *_RESULT_TYPES])
+    schema = StructType([StructField("doc_id", documents.schema["row"].dataType), *StructType.fromDDL(_RESULT)])
     return joined.mapInArrow(run, schema)
 
 
