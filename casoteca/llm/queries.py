@@ -8,8 +8,8 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from casoteca.llm import (decontaminate, minhash, pieces, repeats, token_files, toxicity, transcripts,
-                          vectors)
+from casoteca.llm import (decontaminate, language_model, minhash, pieces, repeats, token_files,
+                          toxicity, transcripts, vectors)
 from casoteca.sources.workspace import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,3 +87,8 @@ def op3_transcript_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transcripts made of all conversations, their roles recovered without looking at them."""
     turns = transcripts.raw_turns(table(spark, sf_dir, "conversations"))
     return transcripts.summary(transcripts.parse(turns, transcripts.train(turns)))
+
+
+@query("op8_deleted_interpolation")
+def op8_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.scores(table(spark, sf_dir, "documents"))
