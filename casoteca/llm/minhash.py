@@ -121,7 +121,7 @@ def _lists(first: np.ndarray, values: np.ndarray) -> pa.Array:
 
 
 def _sketches(rows: DataFrame, width: int) -> DataFrame:
-    """id, n, two numbers that stand for the set, and the set's bytes when wanted."""
+    """id, n (size of the set), two numbers that stand for the set, and a key for each band."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts(batches):
             value, first = shingle_sets(part["text"], width)
@@ -129,38 +129,48 @@ def _sketches(rows: DataFrame, width: int) -> DataFrame:
             totals = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(value ^ np.uint64(s)))))
                       for s in (11, 12)]
             d1, d2 = (mix(t[first[1:]] - t[first[:-1]] + size.astype(np.uint64)).view(np.int64) for t in totals)
+            keys = band_keys(super_minhash(value, first))
+            lists = _lists(np.arange(part.num_rows + 1) * BANDS, keys.ravel())
+            yield pa.RecordBatch.from_arrays([part["id"], pa.array(size), pa.array(d1), pa.array(d2), lists],
+                                             ["id", "n", "d1", "d2", "keys"])
+
+    return rows.mapInArrow(run, "id long, n long, d1 long, d2 long, keys array<long>")
+
+
+def _sets(rows: DataFrame, width: int) -> DataFrame:
+    """node and the bytes of its set."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts(batches):
+            value, first = shingle_sets(part["text"], width)
             raw = value.tobytes()
             sets = pa.array([raw[8 * a:8 * b] for a, b in zip(first[:-1], first[1:])], pa.binary())
-            yield pa.RecordBatch.from_arrays([part["id"], pa.array(size), pa.array(d1), pa.array(d2), sets],
-                                             ["id", "n", "d1", "d2", "shingles"])
+            yield pa.RecordBatch.from_arrays([part["id"], sets], ["node", "shingles"])
 
-    return rows.mapInArrow(run, "id long, n long, d1 long, d2 long, shingles binary")
+    return rows.mapInArrow(run, "node long, shingles binary")
 
 
-def _bands(classes: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts(batches, "shingles", 2 << 20):
-            data, offsets = text_bytes(part["shingles"])
-            keys = band_keys(super_minhash(np.frombuffer(data.tobytes(), np.uint64), offsets // 8))
-            n = part.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [part["node"].take(pa.array(np.repeat(np.arange(n), BANDS))),
-                 pa.array(np.tile(np.arange(BANDS, dtype=np.int32), n)), pa.array(keys.ravel())],
-                ["node", "band", "key"])
-
-    return classes.select("node", "shingles").mapInArrow(run, "node long, band int, key long")
-
-
-def _linked(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Those of the (distinct) pairs a < b whose full sets are similar enough."""
-    sets = classes.select("node", "n", "shingles")
-    # a size ratio below the threshold rules a pair out before any set moves
-    sizes = classes.select("node", "n")
-    near = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a") \
-        .join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b") \
-        .where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b")
-    both = near.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a") \
-        .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+#: Rows of two or three numbers up to which a table goes along with the tasks (some 50 MB).
+FEW_ROWS = 2_000_000
+
+
+def _few(table: DataFrame) -> DataFrame:
+    """The table, marked for broadcast if a count shows that it is small; else it is shuffled."""
+    return F.broadcast(table) if table.limit(FEW_ROWS + 1).count() <= FEW_ROWS else table
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Those of the (distinct) pairs a < b whose full sets are similar enough.
+
+    A size ratio below the threshold rules a pair out before any set moves. Sets
+    move once a pair on one side and once a distinct document on the other.
+    """
+    near = cut_lineage(pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a")
+                       .join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
+                       .where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b"))
+    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")) \
+        .join(_few(near.select("a").distinct()), "a", "left_semi")
+    other = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")).join(_few(near), "b")
+    both = other.join(one, "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,17 +198,19 @@ def near_duplicates(documents: DataFrame, percent: int = 85, width: int = SHINGL
     spark = documents.sparkSession
     rows = documents.select(F.col(id_column).cast("long").alias("id"),
                             F.col(text_column).cast("string").alias("text"))
-    sketches = _sketches(rows, width)
-    described = cut_lineage(sketches.select("id", "n", "d1", "d2"))
-    heads = described.where("n > 0 and id is not null").groupBy("d1", "d2", "n").agg(F.min("id").alias("node"))
-    heads = cut_lineage(heads)
-    # sets are kept for one document of each class
-    classes = cut_lineage(sketches.where("n > 0").select(F.col("id").alias("node"), "n", "shingles")
-                          .join(heads.select("node"), "node", "left_semi"))
-    bands = _bands(classes)
+    sketches = cut_lineage(_sketches(rows, width))
+    described = sketches.select("id", "n", "d1", "d2")
+    heads = cut_lineage(described.where("n > 0 and id is not null").groupBy("d1", "d2", "n")
+                        .agg(F.min("id").alias("node")))
+    bands = heads.join(sketches.withColumnRenamed("id", "node"), ["node", "n", "d1", "d2"]) \
+        .select("node", F.posexplode("keys").alias("band", "key"))
     firsts = bands.groupBy("band", "key").agg(
         F.min_by("node", F.xxhash64("node", "band")).alias("leader"), F.count("*").alias("size")).where("size > 1")
     buckets = cut_lineage(bands.join(firsts, ["band", "key"]).select("band", "key", "node", "leader"))
+    # only documents that share a band with others are read once more, for their full sets
+    sizes = heads.select("node", "n")
+    candidates = cut_lineage(buckets.select(F.col("node").alias("id")).distinct())
+    sets = cut_lineage(_sets(rows.join(_few(candidates), "id", "left_semi"), width))
     links = spark.createDataFrame([], "a long, b long")
     groups = spark.createDataFrame([], "node long, component long")
     compared = links
@@ -206,7 +218,7 @@ def near_duplicates(documents: DataFrame, percent: int = 85, width: int = SHINGL
         star = buckets.where(F.col("band").between(low, high - 1) & (F.col("node") != F.col("leader"))) \
             .select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
         pairs = cut_lineage(_apart(star, groups).join(compared, ["a", "b"], "left_anti"))
-        found = cut_lineage(_linked(pairs, classes, percent))
+        found = cut_lineage(_linked(pairs, sets, sizes, percent))
         compared = compared.unionByName(pairs)
         links = links.unionByName(found)
         groups = components(links)
@@ -215,7 +227,7 @@ def near_duplicates(documents: DataFrame, percent: int = 85, width: int = SHINGL
         "band", "key", "node", F.coalesce("component", "node").alias("group"))
     mixed = member.groupBy("band", "key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")) \
         .where("lo != hi").select("band", "key")
-    open_ = member.join(mixed, ["band", "key"]).join(classes.select("node", "n"), "node")
+    open_ = member.join(mixed, ["band", "key"]).join(sizes, "node")
     open_ = cut_lineage(open_)
     x, y = (open_.select("band", "key", *(F.col(c).alias(c + s) for c in ("node", "group", "n"))) for s in "xy")
     rest = x.join(y, ["band", "key"]).where(
@@ -223,7 +235,7 @@ def near_duplicates(documents: DataFrame, percent: int = 85, width: int = SHINGL
         & (F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent)) \
         .select(F.col("nodex").alias("a"), F.col("nodey").alias("b")).distinct()
     rest = cut_lineage(rest.join(compared, ["a", "b"], "left_anti"))
-    more = cut_lineage(_linked(rest, classes, percent))
+    more = cut_lineage(_linked(rest, sets, sizes, percent))
     groups = components(links.unionByName(more))
     per_class = heads.join(groups, "node", "left").select(
         "d1", "d2", "n", F.coalesce("component", "node").alias("component"))
