@@ -86,7 +86,7 @@ def _band(value: Column, tests: list[tuple[str, Column]]) -> Column:
 def age_band(years: Column) -> Column:
     return _band(years, [
         (label, (years >= lo) if hi is None else (years >= lo) & (years < hi))
-        for label, lo, hi in fixed.AGE_BANDS
+        for lo, hi, label in fixed.AGE_BANDS
     ])
 
 

@@ -8,15 +8,15 @@ and texts which results must reproduce exactly. No logic lives here.
 SUPPORTED_YEARS = (2019, 2020, 2021, 2022, 2023, 2024, 2025, 2026)
 
 AGE_BANDS = (
-    ("<1", 0.0, 1.0),
-    ("1-4", 1.0, 5.0),
-    ("5-11", 5.0, 12.0),
-    ("12-17", 12.0, 18.0),
-    ("18-29", 18.0, 30.0),
-    ("30-44", 30.0, 45.0),
-    ("45-59", 45.0, 60.0),
-    ("60-74", 60.0, 75.0),
-    ("75+", 75.0, None),
+    (0.0, 1.0, "<1"),
+    (1.0, 5.0, "1-4"),
+    (5.0, 12.0, "5-11"),
+    (12.0, 18.0, "12-17"),
+    (18.0, 30.0, "18-29"),
+    (30.0, 45.0, "30-44"),
+    (45.0, 60.0, "45-59"),
+    (60.0, 75.0, "60-74"),
+    (75.0, None, "75+"),
 )
 
 # ---- fixed values: exploratory age bands (lower bound exclusive, upper inclusive) ----

@@ -110,13 +110,15 @@ def age_density(df: DataFrame, column: str = "NU_IDADE_N", points: int = DENSITY
     shuffle. ``frequencia`` is the density scaled to the histogram's counts.
     """
     values = _value_counts(df, column)
-    n, mean = F.sum("n"), F.try_divide(F.sum(F.col("x") * F.col("n")), F.sum("n"))
-    squares = F.sum(F.col("x") * F.col("x") * F.col("n"))
-    deviation = F.sqrt(F.try_divide(squares - mean * mean * n, n - 1))
+    n = F.sum("n")
+    # squares of departures from the mean: squares of the values would cancel on large ones
+    mean = values.agg(F.try_divide(F.sum(F.col("x") * F.col("n")), n)).scalar()
+    squares = F.sum(F.pow(F.col("x") - F.col("mean"), 2) * F.col("n"))
+    deviation = F.sqrt(F.try_divide(squares, n - 1))
     total = values.agg(n).scalar()
     lo = values.agg(F.min("x")).scalar()
     extent = values.agg(F.max("x") - F.min("x")).scalar()
-    bandwidth = values.agg(deviation * F.pow(n, F.lit(-0.2))).scalar()
+    bandwidth = values.withColumn("mean", mean).agg(deviation * F.pow(n, F.lit(-0.2))).scalar()
     grid = F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
     spread = values.select("x", "n", grid.alias("ponto"))
     spread = spread.withColumn("idade", lo + F.col("ponto") * extent / (points - 1))

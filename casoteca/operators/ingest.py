@@ -9,6 +9,7 @@ from casoteca.functions import fixed
 from casoteca.operators.cleaning import transform_cases, validate_year
 from casoteca.operators.quality import quality_report
 from casoteca.sources import files
+from casoteca.sources.workspace import delete_path
 
 
 def pending_years(requested: DataFrame, existing: DataFrame, force: bool = False) -> DataFrame:
@@ -23,41 +24,52 @@ def _report(spark: SparkSession, raws: dict[int, DataFrame], case_root: str,
     # from the written table, so the removal of copies is not run twice.
     raw = files.union_by_name([df.select(F.lit(year).cast("int").alias("ANO"))
                                for year, df in raws.items()])
-    cases = files.read_cases(spark, case_root).filter(F.col("ANO").isin(*raws))
-    files.write_quality(quality_report(raw, cases), quality_root)
+    stored = files.stored_years(spark, case_root)
+    cases = files.read_cases(spark, case_root).filter(F.col("ANO").isin(*raws)) if stored else \
+        transform_cases(raws[min(raws)], min(raws)).limit(0)
+    files.write_quality(quality_report(raw, cases, list(raws)), quality_root)
 
 
 def ingest_years(spark: SparkSession, inputs: dict[int, str | list[str]], case_root: str,
-                 quality_root: str) -> list[int]:
+                 quality_root: str, multi_line: bool = False,
+                 encoding: str = "ISO-8859-1") -> list[int]:
     """Clean and write several years in one job, then their quality report.
 
+    A year whose file has no records replaces what was stored by nothing, and
+    its report counts zeros. ``multi_line`` and ``encoding`` go to ``csv_scan``.
+
     Years keep their own columns until the union, so a column one year lacks
     is NULL there and never a negative answer. Copies are removed within each
     year, hence every output task belongs to one year and writes one file.
     """
-    raws = {validate_year(y): files.csv_scan(spark, path) for y, path in sorted(inputs.items())}
+    raws = {validate_year(y): files.csv_scan(spark, path, multi_line=multi_line, encoding=encoding)
+            for y, path in sorted(inputs.items())}
     if not raws:
         return []
     cases = files.union_by_name([transform_cases(df, y) for y, df in raws.items()])
     files.write_cases(cases, case_root)
+    for year, df in raws.items():
+        if df.isEmpty():
+            delete_path(spark, f"{case_root}/ANO={year}")
     _report(spark, raws, case_root, quality_root)
     return list(raws)
 
 
 def ingest_year(spark: SparkSession, path: str | list[str], case_root: str, quality_root: str,
-                year: int, force: bool = False) -> list[int]:
+                year: int, force: bool = False, **options) -> list[int]:
     """One year; an already stored year is an error unless ``force``."""
     validate_year(year)
     if not force and year in files.stored_years(spark, case_root):
         raise FileExistsError(
             f"Ano {year} ja foi processado. Use force=True para reprocessar.")
-    return ingest_years(spark, {year: path}, case_root, quality_root)
+    return ingest_years(spark, {year: path}, case_root, quality_root, **options)
 
 
 def ingest_all(spark: SparkSession, raw_root: str, case_root: str, quality_root: str,
-               force: bool = False) -> list[int]:
+               force: bool = False, **options) -> list[int]:
     """Every supported year that has a raw file; stored years are skipped unless ``force``."""
     done = set() if force else set(files.stored_years(spark, case_root))
     found = {y: files.discover_year_file(spark, raw_root, y)
              for y in fixed.SUPPORTED_YEARS if y not in done}
-    return ingest_years(spark, {y: p for y, p in found.items() if p}, case_root, quality_root)
+    return ingest_years(spark, {y: p for y, p in found.items() if p}, case_root, quality_root,
+                        **options)

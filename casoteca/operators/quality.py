@@ -22,20 +22,23 @@ def _missing(cases: DataFrame, name: str) -> Column:
     return F.count_if(F.col(name).isNull()) if name in cases.columns else F.count(F.lit(1))
 
 
-def quality_report(raw: DataFrame, cases: DataFrame) -> DataFrame:
-    """One row per year, from one aggregate over each side.
+def quality_report(raw: DataFrame, cases: DataFrame, years: list[int] = ()) -> DataFrame:
+    """One row per year, from one aggregate over each side; listed ``years`` without rows count zeros.
 
     Both frames carry ``ANO``. Rows are removed from ``raw`` only as copies,
     so the copies are the difference of the two counts.
     """
     received = raw.groupBy("ANO").agg(F.count(F.lit(1)).alias("registros_recebidos"))
-    identified = (F.col("ETIOLOGIA_DETALHADA") == fixed.NO_AGENT
+    unidentified = (F.col("ETIOLOGIA_DETALHADA") == fixed.NO_AGENT
                   if "ETIOLOGIA_DETALHADA" in cases.columns else F.lit(False))
     processed = cases.groupBy("ANO").agg(
         F.count(F.lit(1)).alias("registros_processados"),
         *[_missing(cases, name).alias(alias) for alias, name in _MISSING_COUNTS.items()],
-        F.count_if(identified).alias("etiologia_nao_identificada"),
+        F.count_if(unidentified).alias("etiologia_nao_identificada"),
     )
+    if years:
+        listed = raw.sparkSession.createDataFrame([(y,) for y in years], "ANO int")
+        received = listed.join(received, "ANO", "left").na.fill(0, ["registros_recebidos"])
     joined = received.join(processed, "ANO", "left").na.fill(
         0, ["registros_processados", *_MISSING_COUNTS, "etiologia_nao_identificada"])
     return joined.select(

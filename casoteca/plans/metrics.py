@@ -12,8 +12,6 @@ from casoteca.plans.typed_sql import count_if, over_cases, percent
 from casoteca.sources.derived import stored_cases
 
 STATE = "NATION_7"
-RECENT = Filters(ano_inicio=2024, ano_fim=2026)
-RECENT_SQL = "ANO BETWEEN 2024 AND 2026"
 
 DEATHS = count_if("DESFECHO_NORMALIZADO = 'OBITO_SRAG'")
 KNOWN = count_if("DESFECHO_NORMALIZADO IN ('CURA', 'OBITO_SRAG', 'OBITO_OUTRAS_CAUSAS')")
@@ -42,10 +40,8 @@ _register("case_count", f"SELECT {CASES} AS valor FROM cases", M.case_count)
 _register("case_count_echo", None, M.case_count_with_filters,
           Filters(ano_inicio=2024, uf=STATE, sexo="f"))
 _register("base_counts", f"SELECT {BASE} FROM cases", M.base_counts)
-_register("mortality", f"SELECT {FATALITY} FROM cases WHERE {RECENT_SQL} AND UF = '{STATE}'",
-          M.mortality, Filters(ano_inicio=2024, ano_fim=2026, uf=f" {STATE.lower()} "))
-_register("icu_proportion", f"SELECT {ICU_SHARE} FROM cases WHERE {RECENT_SQL}",
-          M.icu_proportion, RECENT)
+_register("mortality", f"SELECT {FATALITY} FROM cases", M.mortality)
+_register("icu_proportion", f"SELECT {ICU_SHARE} FROM cases", M.icu_proportion)
 
 
 @query("deaths_summary", over_cases(f"SELECT {DEATHS} AS obitos, {FATALITY} FROM cases"))
@@ -94,8 +90,8 @@ _register("series_monthly",
           "WHERE MES IS NOT NULL GROUP BY ALL ORDER BY ano, mes", M.time_series)
 _register("series_weekly",
           f"SELECT ANO AS ano, SEMANA_EPIDEMIOLOGICA AS semana_epidemiologica, {CASES} AS casos "
-          f"FROM cases WHERE SEMANA_EPIDEMIOLOGICA IS NOT NULL AND {RECENT_SQL} "
-          "GROUP BY ALL ORDER BY ALL", M.time_series, RECENT, "semana")
+          "FROM cases WHERE SEMANA_EPIDEMIOLOGICA IS NOT NULL "
+          "GROUP BY ALL ORDER BY ALL", M.time_series, Filters(), "semana")
 
 # ---------------------------------------------------------------- rankings
 
@@ -106,9 +102,9 @@ for _metric, _sql in _VALUES.items():
               "ORDER BY valor DESC, uf NULLS LAST LIMIT 20", M.ranking, metric=_metric)
     _register(f"ranking_mun_{_metric}",
               "SELECT UF AS uf, CODIGO_MUNICIPIO AS codigo_municipio, MUNICIPIO AS municipio, "
-              f"{_sql} AS valor FROM cases WHERE {RECENT_SQL} GROUP BY ALL ORDER BY valor DESC, "
+              f"{_sql} AS valor FROM cases GROUP BY ALL ORDER BY valor DESC, "
               "uf NULLS LAST, codigo_municipio NULLS LAST, municipio NULLS LAST LIMIT 50",
-              M.ranking, RECENT, "municipio", _metric, 50)
+              M.ranking, Filters(), "municipio", _metric, 50)
 _register("ranking_uf_fatality",
           f"SELECT UF AS uf, {percent(DEATHS, KNOWN)} AS valor FROM cases GROUP BY UF "
           "ORDER BY valor DESC NULLS LAST, uf NULLS LAST LIMIT 20", M.ranking, metric="fatality")
@@ -132,8 +128,8 @@ _register("compare_slices", f"""
 _register("compare_many", f"""
     SELECT UF AS local, {CASES} AS casos, {DEATHS} AS obitos, {ICU} AS casos_uti,
       {percent(DEATHS, KNOWN)} AS letalidade, {percent(ICU, ICU_KNOWN)} AS proporcao_uti
-    FROM cases WHERE UF IN ('NATION_7', 'NATION_11', 'NATION_19') AND {RECENT_SQL}
-    GROUP BY UF ORDER BY local""", M.compare_many, ["NATION_7", "NATION_11", "NATION_19"], RECENT)
+    FROM cases WHERE UF IN ('NATION_7', 'NATION_11', 'NATION_19')
+    GROUP BY UF ORDER BY local""", M.compare_many, ["NATION_7", "NATION_11", "NATION_19"])
 
 # ---------------------------------------------------------------- co-detection
 

@@ -237,7 +237,7 @@ _AP = "sum(p / tp::double * vp / (vp + fp)::double)"
 
 @query("roc_points", over_cases(f"""{_POINTS}
     SELECT score AS limiar, round(fp / tn::double, 6) AS tfp, round(vp / tp::double, 6) AS tvp
-    FROM points"""))
+    FROM points UNION ALL SELECT 'inf'::double, 0::double, 0::double"""))
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(evaluate.roc_points(_scored(spark, sf)), "tfp", "tvp")
 

@@ -43,9 +43,11 @@ def _labels(n: str, labels: dict[int, str]) -> str:
 
 
 def _bands() -> str:
-    return " ".join(
-        f"WHEN IDADE_ANOS < {hi} THEN '{label}'" if hi is not None else f"ELSE '{label}'"
-        for label, lo, hi in fixed.AGE_BANDS)
+    # written out, so that a wrong band in the package cannot match itself
+    return ("WHEN IDADE_ANOS < 1 THEN '<1' WHEN IDADE_ANOS < 5 THEN '1-4' WHEN IDADE_ANOS < 12 THEN '5-11' "
+            "WHEN IDADE_ANOS < 18 THEN '12-17' WHEN IDADE_ANOS < 30 THEN '18-29' "
+            "WHEN IDADE_ANOS < 45 THEN '30-44' WHEN IDADE_ANOS < 60 THEN '45-59' "
+            "WHEN IDADE_ANOS < 75 THEN '60-74' ELSE '75+'")
 
 
 def _etiology() -> str:

@@ -23,17 +23,32 @@ def missing_to_null(column: str) -> str:
     return f"CASE WHEN {name} NOT IN ({tokens}) THEN {name} END AS {name}"
 
 
+_ODD_LINE = "__linha"
+
+
 def csv_scan(spark: SparkSession, path: str | list[str], *, sep: str = ";",
              encoding: str = "ISO-8859-1", multi_line: bool = False) -> DataFrame:
     """Delimited file with a header; all columns text, "no value" texts are NULL.
 
     ``multi_line`` allows line breaks inside quoted values, at the price of one
-    task per file.
+    task per file. Files of one scan must have the same header, and a line with
+    more fields than it is an error; missing trailing fields are NULL.
     """
-    raw = (spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
-           .option("quote", '"').option("escape", '"').option("multiLine", multi_line)
-           .option("inferSchema", False).csv(path))
-    return raw.selectExpr(*[missing_to_null(n) for n in raw.columns])
+    reader = (spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
+              .option("quote", '"').option("escape", '"').option("multiLine", multi_line)
+              .option("inferSchema", False).option("enforceSchema", False)
+              .option("columnPruning", False))
+    named = reader.csv(path).schema
+    # lines whose number of fields differs from the header's are kept in a column of their own
+    raw = reader.schema(T.StructType([*named, T.StructField(_ODD_LINE, T.StringType())])) \
+        .option("columnNameOfCorruptRecord", _ODD_LINE).csv(path)
+    bare = F.regexp_replace(_ODD_LINE, '"([^"]|"")*"', "")
+    surplus = F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit(""))) >= len(sep) * len(named)
+    # Spark refuses to read the kept lines alone, so a named column is looked at too
+    surplus &= F.coalesce(F.length(F.col(f"`{named.names[0]}`")), F.lit(0)) >= 0
+    message = F.concat(F.lit("Linha com campos a mais: "), F.substring(_ODD_LINE, 1, 200))
+    sound = F.when(surplus, F.raise_error(message).cast("boolean")).otherwise(True)
+    return raw.where(sound).selectExpr(*[missing_to_null(n) for n in named.names])
 
 
 def write_csv(df: DataFrame, path: str, *, sep: str = ",", encoding: str = "UTF-8",

@@ -66,6 +66,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(_glob(spark, path))
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder if it is there."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def fingerprint(spark: SparkSession, paths: list[str]) -> str:
     """Changes when one of the paths is rewritten; reads file metadata only."""
     facts = [(str(s.getPath()), s.getLen(), s.getModificationTime())
