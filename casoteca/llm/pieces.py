@@ -463,7 +463,7 @@ def encode_pieces(documents: DataFrame, model: str, id_column: str = "doc_id",
 
     Returns every column of ``documents``, then ids (array), score (sum of log
     scores) and decoded. NULL texts stay NULL with no ids; empty ones are empty.
-    A mark (U+2581) in a text decodes as a space.
+    A mark (U+2581) in a text is no white space: it becomes its bytes and comes back.
     """
     names = documents.columns
 
