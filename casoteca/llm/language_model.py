@@ -32,7 +32,7 @@ FOLDS, HELD_OUT, TUNE = 7, 2, 3
 BUCKETS = 32
 #: Hash bytes of a unigram and of a bigram. With the number of its part, two of n bigrams collide
 #: about n^2 / 2^(8 bytes + 1) / parts times; raise beyond 1e9.
-KEY_BYTES = (8, 6)
+KEY_BYTES = (7, 6)
 #: Steps of a scale on which held-out events are pooled for the weights: the two logarithms
 #: of probability ratios, a quarter of a power of two each.
 GRID, FINE = 128, 4
@@ -86,8 +86,19 @@ def _unpack(raw: bytes, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-_ASK = "kind int, part int, chunk int, keys binary, trained binary, fitted binary"
-_ANSWER = "kind int, part int, chunk int, trained binary, fitted binary, tokens long, types long, fit_tokens long"
+def _shorten(counts: np.ndarray) -> bytes:
+    """A byte for each count, then in full those that do not fit."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<u8").tobytes()
+
+
+def _lengthen(raw, size: int) -> np.ndarray:
+    counts = np.frombuffer(raw, np.uint8, size).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(raw, "<u8", offset=size)
+    return counts
+
+
+_ASK = "kind int, part int, chunk int, keys binary, trained binary, tuned binary"
+_ANSWER = "kind int, part int, chunk int, trained binary, tuned binary, tokens long, types long, tune_tokens long, fit_types long"
 
 
 def _ask(n_parts: int):
@@ -99,9 +110,9 @@ def _ask(n_parts: int):
         rows = []
         for kind, keys in enumerate((tokens, _bigrams(before, tokens))):
             short, which, bounds = _distinct(keys, kind, n_parts)
-            trained = np.bincount(which[fold != HELD_OUT], minlength=len(short)).astype("<u4")
-            fitted = np.bincount(which[(fold != HELD_OUT) & (fold != TUNE)], minlength=len(short)).astype("<u4")
-            rows += [(kind, p, chunk, _pack(short[a:b], KEY_BYTES[kind]), trained[a:b].tobytes(), fitted[a:b].tobytes())
+            trained = np.bincount(which[fold != HELD_OUT], minlength=len(short))
+            tuned = np.bincount(which[fold == TUNE], minlength=len(short))
+            rows += [(kind, p, chunk, _pack(short[a:b], KEY_BYTES[kind]), _shorten(trained[a:b]), _shorten(tuned[a:b]))
                      for p, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())) if b > a]
         kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
         return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)],
@@ -118,40 +129,41 @@ def _count(table: pa.Table) -> pa.Table:
     del raw
     _, which = np.unique(keys, return_inverse=True)
     out, totals = [], []
-    for name in ("trained", "fitted"):
-        given = np.frombuffer(b"".join(table[name].to_pylist()), "<u4")
-        total = np.bincount(which, given)
+    ends = np.cumsum(sizes)
+    for name in ("trained", "tuned"):
+        given = np.concatenate([_lengthen(x, n) for x, n in zip(table[name].to_pylist(), sizes.tolist())])
+        total = np.bincount(which, given).astype(np.int64)
         totals.append(total)
-        wide = total[which].astype("<u4" if not len(total) or total.max() < 1 << 32 else "<u8")
-        # the width is told by the size of the answer; sums above 32 bits need a corpus of 4e9 tokens
-        ends = np.cumsum(sizes)
-        out.append([wide[a:b].tobytes() for a, b in zip(ends - sizes, ends)])
+        back = total[which]
+        out.append([_shorten(back[a:b]) for a, b in zip(ends - sizes, ends)])
     n = len(sizes)
     first = np.arange(n) == 0      # totals are told once a part
     told = lambda v: pa.array(np.where(first, int(v), 0).astype(np.int64))
     return pa.table([pa.array(np.full(n, kind, np.int32)), pa.array(np.full(n, part, np.int32)),
                      table["chunk"].combine_chunks(), pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()),
-                     told(totals[0].sum()), told((totals[0] > 0).sum()), told(totals[1].sum())],
+                     told(totals[0].sum()), told((totals[0] > 0).sum()), told(totals[1].sum()),
+                     told((totals[0] > totals[1]).sum())],
                     names=[x.split()[0] for x in _ANSWER.split(", ")])
 
 
-def _counts(answers: pa.Table, kind: int, which: np.ndarray, bounds: np.ndarray, name: str) -> np.ndarray:
-    """Corpus counts of every token of a chunk."""
+def _counts(answers: pa.Table, kind: int, which: np.ndarray, bounds: np.ndarray, fit: bool) -> np.ndarray:
+    """Corpus counts of every token of a chunk; with ``fit`` those without the held-out fold."""
     total = np.zeros(bounds[-1], np.float64)
     kinds, parts = np.asarray(answers["kind"]), np.asarray(answers["part"])
-    column = answers[name].combine_chunks()
+    trained, tuned = (answers[c].combine_chunks() for c in ("trained", "tuned"))
     for i in np.flatnonzero(kinds == kind):
-        a, b = bounds[parts[i]], bounds[parts[i] + 1]
-        raw = column[i].as_buffer()
-        total[a:b] = np.frombuffer(raw, "<u4" if raw.size == 4 * (b - a) else "<u8")
+        a, b = int(bounds[parts[i]]), int(bounds[parts[i] + 1])
+        total[a:b] = _lengthen(trained[i].as_buffer(), b - a)
+        if fit:
+            total[a:b] -= _lengthen(tuned[i].as_buffer(), b - a)
     return total[which]
 
 
-def _resolved(table: pa.Table, answers: pa.Table, n_parts: int, name: str):
+def _resolved(table: pa.Table, answers: pa.Table, n_parts: int, fit: bool):
     """Tokens' counts: of the token, of its context as a context, of the two together."""
     table = table.combine_chunks()
     tokens, begins, before = _tokens(table["text"].chunk(0))
-    single, pair = (_counts(answers, kind, *_distinct(keys, kind, n_parts)[1:], name)
+    single, pair = (_counts(answers, kind, *_distinct(keys, kind, n_parts)[1:], fit)
                     for kind, keys in enumerate((tokens, _bigrams(before, tokens))))
     context = np.empty_like(single)
     context[1:] = single[:-1]
@@ -175,8 +187,9 @@ def _gather(n_parts: int):
         names = ["bucket", "r2", "r1", "n"]
         if not table.num_rows:
             return pa.table([pa.array([], t) for t in (pa.int32(), pa.int32(), pa.int32(), pa.int64())], names=names)
-        total, types = (answers["totals"].combine_chunks()[0].as_py()[i] for i in (2, 1))
-        table, begins, single, context, pair = _resolved(table, answers, n_parts, "fitted")
+        whole, _, tune_tokens, types = answers["totals"].combine_chunks()[0].as_py()
+        total = whole - tune_tokens
+        table, begins, single, context, pair = _resolved(table, answers, n_parts, True)
         tune = np.repeat(np.asarray(table["fold"]), np.diff(begins)) == TUNE
         p2, p1, p0 = (p[tune] for p in _parts_of(single, context, pair, total, types))
         r2, r1 = (np.where(p > 0, np.clip(np.rint(FINE * np.log2(np.maximum(p, 1e-300) / p0)), 1 - GRID, GRID - 1), -GRID)
@@ -224,10 +237,10 @@ def _score(n_parts: int):
         if not table.num_rows:
             return pa.table([pa.array([], t) for t in (table.schema.field("row").type, pa.bool_(), *3 * [pa.int64()],
                                                        *2 * [pa.float64()])], names=names)
-        total, types, _ = answers["totals"].combine_chunks()[0].as_py()
+        total, types = answers["totals"].combine_chunks()[0].as_py()[:2]
         learned = answers["weights"].combine_chunks()[0].as_py()     # NULL without held-out tokens
         weights = np.full((BUCKETS, 3), 1 / 3) if learned is None else np.array(learned).reshape(BUCKETS, 3)
-        table, begins, single, context, pair = _resolved(table, answers, n_parts, "trained")
+        table, begins, single, context, pair = _resolved(table, answers, n_parts, False)
         w = weights[_bucket(context)]
         p = sum(w[:, i] * x for i, x in enumerate(_parts_of(single, context, pair, total, types)))
         base = np.log10((single + 1) / (total + (types + 1)))
@@ -265,7 +278,7 @@ def scores(documents: DataFrame, id_column: str = "doc_id", text_column: str = "
     asked = dealt.groupBy("chunk").applyInArrow(_ask(n_parts), _ASK)
     answers = asked.groupBy("kind", "part").applyInArrow(_count, _ANSWER).repartition(width, "chunk")
     told = answers.where("kind = 0").agg(F.array(*(F.coalesce(F.sum(c), F.lit(0)).cast("long")
-                                                   for c in ("tokens", "types", "fit_tokens"))))
+                                                   for c in ("tokens", "types", "tune_tokens", "fit_types"))))
     answers = answers.withColumn("totals", told.scalar())
     pooled = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")) \
         .applyInArrow(_gather(n_parts), "bucket int, r2 int, r1 int, n long") \
