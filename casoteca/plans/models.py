@@ -10,9 +10,11 @@ from casoteca.operators import explore
 from casoteca.plans.registry import query
 from casoteca.plans.typed_sql import over_cases
 from casoteca.sources.derived import stored_cases, stored_explored
-from casoteca.sources.workspace import new_folder
+from casoteca.sources.files import union_by_name
+from casoteca.sources.workspace import cut_lineage, new_folder
 
-# Ensemble size of the registered queries; the functions default to the full benchmark sizes.
+# Trees of the registered queries; the functions default to the full benchmark sizes, at which one
+# cross-validation of five models takes hours on a single machine.
 SIZE = models.Size().shrunk(5)
 
 
@@ -379,22 +381,30 @@ def _patient(spark: SparkSession, sf: str) -> models.PatientData:
     return models.patient_data(stored_cases(spark, sf))
 
 
-def _state_benchmark(spark: SparkSession, sf: str) -> models.StateBenchmark:
-    return models.state_benchmark(stored_explored(spark, sf), "EVOLUCAO", size=SIZE)
+# the two outcomes of the state benchmark
+TARGETS = ("EVOLUCAO", "UTI")
+
+
+def _state_benchmarks(spark: SparkSession, sf: str) -> dict[str, models.StateBenchmark]:
+    """The benchmark of each target that has enough rows of both classes."""
+    found = {t: models.state_benchmark(stored_explored(spark, sf), t, size=SIZE) for t in TARGETS}
+    return {t: b for t, b in found.items() if b is not None}
 
 
 @query("model_comparison")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     path = new_folder(spark, "metrics")
-    _state_benchmark(spark, sf).write_metrics(path)
+    for target, benchmark in _state_benchmarks(spark, sf).items():
+        benchmark.write_metrics(f"{path}/alvo={target}")
     return spark.read.option("header", True).csv(
         path, schema="modelo string, acuracia double, precisao double, recall double, f1 double, "
-        "auc double, precisao_media double")
+        "auc double, precisao_media double, alvo string")
 
 
 @query("feature_importance")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return _state_benchmark(spark, sf).importance()
+    return union_by_name([b.importance().withColumn("alvo", F.lit(t))
+                          for t, b in _state_benchmarks(spark, sf).items()])
 
 
 @query("pca_components")
@@ -409,35 +419,36 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return models.fit_reduction(data.part("train"), data.recipe).loadings(spark)
 
 
+def _patient_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of all five models on the test part, written once for what reads them."""
+    data = _patient(spark, sf)
+    return cut_lineage(models.fit_patient_models(data, SIZE).score(data.part("test")))
+
+
 @query("patient_models")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    data = _patient(spark, sf)
-    fitted = models.fit_patient_models(data, SIZE, stacking=False)
-    return evaluate.classification_metrics(fitted.score(data.part("test")), label="OBITO",
-                                           by=["modelo"])
+    return evaluate.classification_metrics(_patient_scores(spark, sf), label="OBITO", by=["modelo"])
 
 
 @query("stacking")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    data = _patient(spark, sf)
-    fitted = models.fit_patient_models(data, SIZE)
-    scored = fitted.score(data.part("test")).filter("modelo = 'stacking_ensemble'")
+    scored = _patient_scores(spark, sf).filter("modelo = 'stacking_ensemble'")
     return evaluate.classification_metrics(scored, label="OBITO", by=["modelo"])
 
 
 @query("cv_scores")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     data = _patient(spark, sf)
-    return models.cv_scores(models.cross_validate(data.part("train"), data.recipe, size=SIZE,
-                                                  stacking=False))
+    return models.cv_scores(models.cross_validate(data.part("train"), data.recipe, size=SIZE))
 
 
 @query("save_model")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     data = _patient(spark, sf)
-    fitted = models.fit_patient_models(data, SIZE, stacking=False)
-    name = "regressao_logistica"
-    scored = fitted.score(data.part("test")).filter(F.col("modelo") == name)
+    cv = models.cv_scores(models.cross_validate(data.part("train"), data.recipe, size=SIZE))
+    name = evaluate.best_model(cv, "roc_auc").first()["modelo"]
+    fitted = models.fit_patient_models(data, SIZE)
+    scored = cut_lineage(fitted.score(data.part("test")).filter(F.col("modelo") == name))
     threshold = evaluate.best_threshold(scored, label="OBITO").first()["limiar"]
     path = new_folder(spark, "model")
     columns = [*data.recipe.numeric, *data.recipe.categorical]
