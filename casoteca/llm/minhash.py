@@ -8,6 +8,8 @@ grouped with union-find. All candidates that could still change a group are comp
 * rounds compare every class of a bucket with one leader of the bucket (other
   bands have other leaders), leaving out pairs that are in one group already;
 * a closing pass compares what is left: pairs of a bucket in different groups.
+
+Parity bits of the sets, an exact bound, rule out most pairs before their sets move.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casoteca.llm.components import components
@@ -33,6 +35,8 @@ BANDS, ROWS = 25, 5
 _CHUNK = 1 << 15
 #: Bands of each leader round.
 ROUNDS = ((0, 1), (1, 4), (4, 12), (12, 25))
+#: Columns of 64 parity bits each; a pair is looked at closer only if these bits allow a link.
+PARITY = [f"p{i}" for i in range(8)]
 
 
 def shingle_sets(column: pa.Array, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -116,12 +120,37 @@ def band_keys(signatures: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> n
     return out
 
 
+def parity_bits(value: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """512 bits of each set as eight numbers: is the count of elements that fall on a bit odd?
+
+    Two sets differ in at least as many elements as their bits differ.
+    """
+    n, width = len(first) - 1, len(PARITY)
+    slot = np.repeat(np.arange(n), np.diff(first)) * width + (value >> np.uint64(61)).astype(np.int64)
+    odd = np.zeros(len(value) + 1, np.uint64)
+    np.bitwise_xor.accumulate(np.uint64(1) << (value >> np.uint64(55) & np.uint64(63)), out=odd[1:])
+    edge = odd[np.searchsorted(slot, np.arange(n * width + 1))]
+    return (edge[1:] ^ edge[:-1]).view(np.int64).reshape(n, width)
+
+
+def _may_link(x: str, y: str, percent: int) -> Column:
+    """False only for pairs that their sizes or parity bits rule out: an exact bound, no estimate.
+
+    With sizes summing to s and d elements in one set only, the similarity is (s - d) / (s + d).
+    The columns of either side end in ``x`` and ``y``.
+    """
+    nx, ny = F.col("n" + x), F.col("n" + y)
+    differ = sum((F.bit_count(F.col(p + x).bitwiseXOR(F.col(p + y))) for p in PARITY), F.lit(0))
+    return (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent) \
+        & (differ * (100 + percent) <= (nx + ny) * (100 - percent))
+
+
 def _lists(first: np.ndarray, values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(first.astype(np.int32), pa.array(values))
 
 
 def _sketches(rows: DataFrame, width: int) -> DataFrame:
-    """id, n (size of the set), two numbers that stand for the set, and a key for each band."""
+    """id, n (size of the set), two numbers that stand for the set, a key for each band, parity bits."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts(batches):
             value, first = shingle_sets(part["text"], width)
@@ -131,10 +160,13 @@ def _sketches(rows: DataFrame, width: int) -> DataFrame:
             d1, d2 = (mix(t[first[1:]] - t[first[:-1]] + size.astype(np.uint64)).view(np.int64) for t in totals)
             keys = band_keys(super_minhash(value, first))
             lists = _lists(np.arange(part.num_rows + 1) * BANDS, keys.ravel())
-            yield pa.RecordBatch.from_arrays([part["id"], pa.array(size), pa.array(d1), pa.array(d2), lists],
-                                             ["id", "n", "d1", "d2", "keys"])
+            bits = [pa.array(b) for b in parity_bits(value, first).T]
+            yield pa.RecordBatch.from_arrays(
+                [part["id"], pa.array(size), pa.array(d1), pa.array(d2), lists, *bits],
+                ["id", "n", "d1", "d2", "keys", *PARITY])
 
-    return rows.mapInArrow(run, "id long, n long, d1 long, d2 long, keys array<long>")
+    return rows.mapInArrow(run, "id long, n long, d1 long, d2 long, keys array<long>, "
+                           + ", ".join(f"{p} long" for p in PARITY))
 
 
 def _sets(rows: DataFrame, width: int) -> DataFrame:
@@ -161,12 +193,11 @@ def _few(table: DataFrame) -> DataFrame:
 def _linked(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """Those of the (distinct) pairs a < b whose full sets are similar enough.
 
-    A size ratio below the threshold rules a pair out before any set moves. Sets
+    Sizes and parity bits rule most pairs out before any set moves. Sets
     move once a pair on one side and once a distinct document on the other.
     """
-    near = cut_lineage(pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a")
-                       .join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-                       .where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b"))
+    a, b = (sizes.select(F.col("node").alias(s), *(F.col(c).alias(c + s) for c in ("n", *PARITY))) for s in "ab")
+    near = cut_lineage(pairs.join(a, "a").join(b, "b").where(_may_link("a", "b", percent)).select("a", "b"))
     one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")) \
         .join(_few(near.select("a").distinct()), "a", "left_semi")
     other = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")).join(_few(near), "b")
@@ -208,8 +239,9 @@ def near_duplicates(documents: DataFrame, percent: int = 85, width: int = SHINGL
         F.min_by("node", F.xxhash64("node", "band")).alias("leader"), F.count("*").alias("size")).where("size > 1")
     buckets = cut_lineage(bands.join(firsts, ["band", "key"]).select("band", "key", "node", "leader"))
     # only documents that share a band with others are read once more, for their full sets
-    sizes = heads.select("node", "n")
     candidates = cut_lineage(buckets.select(F.col("node").alias("id")).distinct())
+    sizes = cut_lineage(sketches.select("id", "n", *PARITY).join(_few(candidates), "id", "left_semi")
+                        .withColumnRenamed("id", "node").distinct())
     sets = cut_lineage(_sets(rows.join(_few(candidates), "id", "left_semi"), width))
     links = spark.createDataFrame([], "a long, b long")
     groups = spark.createDataFrame([], "node long, component long")
@@ -229,10 +261,11 @@ def near_duplicates(documents: DataFrame, percent: int = 85, width: int = SHINGL
         .where("lo != hi").select("band", "key")
     open_ = member.join(mixed, ["band", "key"]).join(sizes, "node")
     open_ = cut_lineage(open_)
-    x, y = (open_.select("band", "key", *(F.col(c).alias(c + s) for c in ("node", "group", "n"))) for s in "xy")
+    x, y = (open_.select("band", "key", *(F.col(c).alias(c + s) for c in ("node", "group", "n", *PARITY)))
+            for s in "xy")
     rest = x.join(y, ["band", "key"]).where(
         (F.col("nodex") < F.col("nodey")) & (F.col("groupx") != F.col("groupy"))
-        & (F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent)) \
+        & _may_link("x", "y", percent)) \
         .select(F.col("nodex").alias("a"), F.col("nodey").alias("b")).distinct()
     rest = cut_lineage(rest.join(compared, ["a", "b"], "left_anti"))
     more = cut_lineage(_linked(rest, sets, sizes, percent))

@@ -70,6 +70,19 @@ def test_repeats(spark, frame, documents):
     assert repeats.remove_repeats(frame([])).count() == 0
 
 
+def test_parity_bits_bound_the_difference():
+    draw = np.random.default_rng(3)
+    pool = draw.integers(0, 1 << 63, 3000).astype(np.uint64) * np.uint64(2)
+    sets = [np.unique(draw.choice(pool, n)) for n in (0, 1, 5, 60, 400, 400, 2500)]
+    bits = minhash.parity_bits(np.concatenate(sets), np.cumsum([0] + [len(s) for s in sets]))
+    for x, p in zip(sets, bits):
+        for y, q in zip(sets, bits):
+            apart = sum(int(v).bit_count() for v in (p ^ q).view(np.uint64))
+            differ = len(np.setxor1d(x, y))
+            assert apart <= differ and apart % 2 == differ % 2
+            assert differ > 60 or apart > 0.7 * differ or differ == apart
+
+
 def groups(rows, percent=85):
     sets = {}
     for i, text in rows:
