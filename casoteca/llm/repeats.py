@@ -38,6 +38,8 @@ KMER = 6
 #: Bytes kept of an edge's hash; with its partition key that is 72 bits. Raise for > 1e10 edges.
 EDGE_BYTES = 6
 _KEY_BITS = 24
+#: Words of a task whose edges are settled together; some 150 bytes of memory each.
+DEAL_WORDS = 1_500_000
 
 
 def _runs(words: np.ndarray, first: np.ndarray, seed: int):
@@ -48,9 +50,9 @@ def _runs(words: np.ndarray, first: np.ndarray, seed: int):
         none = np.zeros(0, np.int64)
         return none, edge, none, np.zeros(0, np.uint64)
     # position of each edge's first k-mer in ``kmer``; k-mers of a document are consecutive
-    where = np.searchsorted(at, begin)
+    where = np.searchsorted(at, begin).astype(np.int32)
     span = WINDOW - KMER + 1
-    smallest, size = np.arange(len(kmer)), 1
+    smallest, size = np.arange(len(kmer), dtype=np.int32), 1
     while size < span:                 # doubling: index of the leftmost smallest of ``size`` k-mers
         step = min(size, span - size)
         a, b = smallest[:len(smallest) - step], smallest[step:]
@@ -83,7 +85,7 @@ def _edges(documents: DataFrame, seed: int) -> DataFrame:
             held.append((hashes(data, start, end, seed), first))
             ids_held.append(part["id"].to_numpy())
             total += len(start)
-            if total > 2_000_000:
+            if total > DEAL_WORDS:
                 yield from flush()
                 held.clear(), ids_held.clear()
                 total = 0
@@ -100,20 +102,23 @@ def _deal(held: list, ids_held: list, seed: int) -> Iterator[pa.RecordBatch]:
     base = np.cumsum([0] + [len(w) for w, _ in held])
     first = np.concatenate([f[:-1] + b for (_, f), b in zip(held, base)] + [[len(words)]])
     ids = np.concatenate(ids_held)
+    held.clear()
     begin, edge, run, minimizer = _runs(words, first, seed)
+    del words
     if not len(begin):
         return
-    doc = np.searchsorted(first, begin, side="right") - 1
-    start = begin - first[doc]
+    doc = (np.searchsorted(first, begin, side="right") - 1).astype(np.int32)
+    start = (begin - first[doc]).astype(np.int32)
     # first occurrence inside this task, by (document id, start)
-    rank = np.empty(len(ids), np.int64)
+    rank = np.empty(len(ids), np.int32)
     rank[np.argsort(ids, kind="stable")] = np.arange(len(ids))
-    by = np.lexsort((start, rank[doc], edge))
+    by = np.lexsort((start, rank[doc], edge)).astype(np.int32)
     new = np.ones(len(by), bool)
     new[1:] = edge[by[1:]] != edge[by[:-1]]
-    source = np.empty(len(by), np.int64)
-    source[by] = by[np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))]
-    again = source != np.arange(len(by))
+    source = np.empty(len(by), np.int32)
+    source[by] = by[np.maximum.accumulate(np.where(new, np.arange(len(by), dtype=np.int32), 0))]
+    del by, new
+    again = source != np.arange(len(source))
     # settled: maximal stretches whose sources follow one another too
     stretch = np.flatnonzero(again & ~_follows(again, doc, start, doc[source], start[source]))
     if len(stretch):

@@ -114,7 +114,11 @@ def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0)
     return out
 
 
-@lru_cache(maxsize=4)
+#: Windows whose hashes are summed at a time, so that tables of powers stay small.
+_BLOCK = 1 << 16
+
+
+@lru_cache(maxsize=16)
 def _powers(base: int, log_size: int) -> np.ndarray:
     out = np.ones(1 << log_size, np.uint64)
     done = 1
@@ -131,13 +135,18 @@ def windows(words: np.ndarray, first: np.ndarray, width: int,
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     base = int(seed_of(seed + 1000)) | 1
-    size = max(1, int(len(words)).bit_length())
+    size = (min(n, _BLOCK) + width).bit_length()
     up, down = _powers(base, size), _powers(pow(base, -1, 1 << 64), size)
-    total = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(words * up[:len(words)], out=total[1:])
+    value = np.empty(n, np.uint64)
+    for a in range(0, n, _BLOCK):
+        piece = words[a:min(a + _BLOCK, n) + width - 1]
+        total = np.zeros(len(piece) + 1, np.uint64)
+        np.cumsum(piece * up[:len(piece)], out=total[1:])
+        m = len(piece) - width + 1
+        value[a:a + m] = (total[width:] - total[:m]) * down[:m]
     counts = np.maximum(np.diff(first) - width + 1, 0)
     begin = np.repeat(first[:-1] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-    return begin, mix((total[begin + width] - total[begin]) * down[begin])
+    return begin, mix(value[begin])
 
 
 def segments(counts: np.ndarray) -> np.ndarray:
