@@ -39,7 +39,7 @@ KMER = 6
 EDGE_BYTES = 6
 _KEY_BITS = 24
 #: Words of a task whose edges are settled together; some 150 bytes of memory each.
-DEAL_WORDS = 1_500_000
+DEAL_WORDS = 750_000
 
 
 def _runs(words: np.ndarray, first: np.ndarray, seed: int):
@@ -109,6 +109,7 @@ def _deal(held: list, ids_held: list, seed: int) -> Iterator[pa.RecordBatch]:
         return
     doc = (np.searchsorted(first, begin, side="right") - 1).astype(np.int32)
     start = (begin - first[doc]).astype(np.int32)
+    begin = None
     # first occurrence inside this task, by (document id, start)
     rank = np.empty(len(ids), np.int32)
     rank[np.argsort(ids, kind="stable")] = np.arange(len(ids))
@@ -137,7 +138,7 @@ def _deal(held: list, ids_held: list, seed: int) -> Iterator[pa.RecordBatch]:
             ["key", "doc", "start", "edges", "spans"])
     # the rest: stretches of new edges inside each run
     fresh = ~again
-    head = np.zeros(len(begin), bool)
+    head = np.zeros(len(doc), bool)
     head[run] = True
     cut = fresh & (head | np.append([True], again[:-1]))
     at = np.flatnonzero(cut)
