@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 _BLOCK = "__bloco"
 _HASH = "__hash"
+#: Rows per block of a running total, however large the table is.
+BLOCK_ROWS = 1_000_000
 
 
 def _block_offsets(block_sums: DataFrame, by: list[str], totals: list[str],
@@ -30,7 +32,8 @@ def _block_offsets(block_sums: DataFrame, by: list[str], totals: list[str],
 
 
 def _default_blocks(df: DataFrame) -> int:
-    return max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """As many blocks as the rows need, and no fewer than there are shuffle tasks."""
+    return max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.count() // BLOCK_ROWS)
 
 
 def running_totals(df: DataFrame, order: str, counts: dict[str, Column], by: list[str] = (),
@@ -45,11 +48,11 @@ def running_totals(df: DataFrame, order: str, counts: dict[str, Column], by: lis
     Block limits are quantiles of the rows, hence no block holds more distinct
     values than its share of the rows. They only steer the distribution of
     work; results do not depend on them. There are as many blocks as shuffle
-    tasks, and at least 64.
+    tasks, at least 64, and at least one for every ``BLOCK_ROWS`` rows.
     """
     by, names = list(by), list(counts)
-    blocks = blocks or _default_blocks(df)
     df = df.filter(F.col(order).isNotNull() & ~F.isnan(F.col(order).cast("double")))
+    blocks = blocks or _default_blocks(df.select(order))
     values = (df.withColumn(order, F.col(order).cast("double")).groupBy(*by, order)
               .agg(*[expr.alias(name) for name, expr in counts.items()]))
     axis = df.select(F.col(order).cast("double").alias(order))

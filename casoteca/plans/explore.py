@@ -151,3 +151,42 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     FROM explore WHERE OBESIDADE IN ('1', '2') AND UTI IN (1, 2) GROUP BY ALL"""))
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return E.obesity_icu_crosstab(stored_explored(spark, sf))
+
+
+# ---------------------------------------------------------------- one state
+
+_HERE = f", here AS (SELECT * FROM explore WHERE upper(SG_UF) = '{STATE}')"
+
+
+def _of_state(spark: SparkSession, sf: str) -> DataFrame:
+    return E.filter_state(stored_explored(spark, sf), STATE)
+
+
+@query("state_histogram", over_cases(_HERE + """
+    , span AS (SELECT min(NU_IDADE_N) AS lo, (max(NU_IDADE_N) - min(NU_IDADE_N)) / 30 AS w FROM here),
+    filled AS (SELECT least(cast(floor((NU_IDADE_N - lo) / w) AS bigint), 29) AS faixa,
+                 count(*) AS n FROM here, span WHERE NU_IDADE_N IS NOT NULL GROUP BY ALL)
+    SELECT r.i AS faixa, round(lo + r.i * w, 6) AS inicio, round(lo + (r.i + 1) * w, 6) AS fim,
+      cast(coalesce(n, 0) AS bigint) AS casos
+    FROM range(30) r(i) CROSS JOIN span LEFT JOIN filled ON faixa = r.i ORDER BY faixa"""))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(E.age_histogram(_of_state(spark, sf)), "inicio", "fim")
+
+
+@query("state_prevalence", over_cases(_HERE + """
+    SELECT comorbidade, round(p, 6) AS percentual FROM (
+      SELECT unnest(['CARDIOPATI', 'DIABETES', 'OBESIDADE', 'ASMA']) AS comorbidade,
+        unnest([count(*) FILTER (WHERE CARDIOPATI = '1') * 100.0::double / count(*),
+                count(*) FILTER (WHERE DIABETES = '1') * 100.0::double / count(*),
+                count(*) FILTER (WHERE OBESIDADE = '1') * 100.0::double / count(*),
+                count(*) FILTER (WHERE ASMA = '1') * 100.0::double / count(*)]) AS p
+      FROM here) ORDER BY percentual"""))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(E.comorbidity_prevalence(_of_state(spark, sf)), "percentual")
+
+
+@query("state_top_municipalities", over_cases(_HERE + f"""
+    SELECT ID_MUNICIP AS municipio, {CASES} AS casos FROM here WHERE ID_MUNICIP IS NOT NULL
+    GROUP BY ALL ORDER BY casos DESC, municipio LIMIT 15"""))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return E.top_municipalities(_of_state(spark, sf))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from casoteca.operators import cleaning
 from casoteca.operators import metrics as M
@@ -37,9 +38,19 @@ def _register(name: str, check: str | None, build, *args, **kwargs) -> None:
 # ---------------------------------------------------------------- counts and ratios
 
 _register("case_count", f"SELECT {CASES} AS valor FROM cases", M.case_count)
-_register("case_count_echo", None, M.case_count_with_filters,
-          Filters(ano_inicio=2024, uf=STATE, sexo="f"))
 _register("base_counts", f"SELECT {BASE} FROM cases", M.base_counts)
+
+
+@query("case_count_echo", over_cases(f"""
+    SELECT {CASES} AS valor, '2024' AS ano_inicio, '{STATE}' AS uf, 'F' AS sexo,
+      cast(3 AS bigint) AS restricoes
+    FROM cases WHERE ANO >= 2024 AND UF = '{STATE}' AND CS_SEXO = 'F'"""))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    counted = M.case_count_with_filters(stored_cases(spark, sf), Filters(ano_inicio=2024, uf=STATE, sexo="f"))
+    return counted.select("valor", *(F.col("filtros")[n].alias(n) for n in ("ano_inicio", "uf", "sexo")),
+                          F.size("filtros").cast("bigint").alias("restricoes"))
+
+
 _register("mortality", f"SELECT {FATALITY} FROM cases", M.mortality)
 _register("icu_proportion", f"SELECT {ICU_SHARE} FROM cases", M.icu_proportion)
 

@@ -7,6 +7,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from casoteca.functions import fixed, ordered
 from casoteca.ml import evaluate
 from casoteca.operators import explore, ingest
 from casoteca.sources import files
@@ -78,3 +79,22 @@ def test_an_emptied_year_replaces_the_old_one(spark, tmp_path):
     assert [r.ANO for r in files.read_cases(spark, cases).select("ANO").collect()] == [2025]
     found = [json.loads(line) for p in Path(report).rglob("*.json") for line in p.read_text().splitlines()]
     assert {r["ano"]: r["registros_recebidos"] for r in found} == {2024: 0, 2025: 1}
+
+
+def test_state_filter_finds_its_column(spark):
+    for column in fixed.STATE_COLUMNS:
+        df = spark.createDataFrame([("pr", 1), ("SC", 2), (None, 3)], f"{column} string, n int")
+        assert [r.n for r in explore.filter_state(df, "PR").collect()] == [1]
+    bare = spark.createDataFrame([(1,), (2,)], "n int")
+    assert explore.filter_state(bare, "PR").count() == 2
+    both = spark.createDataFrame([("PR", "SC")], ", ".join(f"{c} string" for c in fixed.STATE_COLUMNS[:2]))
+    assert explore.filter_state(both, "PR").count() == 1 and explore.filter_state(both, "SC").count() == 0
+
+
+def test_blocks_grow_with_the_rows(spark, monkeypatch):
+    df = spark.range(3000).select((F.col("id") % 2).alias("g"), (F.col("id") * 0.5).alias("x"))
+    few = ordered._default_blocks(df)
+    monkeypatch.setattr(ordered, "BLOCK_ROWS", 20)
+    assert ordered._default_blocks(df) == 150 > few
+    out = ordered.running_totals(df, "x", {"n": F.count(F.lit(1))}, by=["g"])
+    assert [r.n__acum for r in out.where("g = 1").orderBy("x").collect()] == list(range(1, 1501))
