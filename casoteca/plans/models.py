@@ -13,10 +13,6 @@ from casoteca.sources.derived import stored_cases, stored_explored
 from casoteca.sources.files import union_by_name
 from casoteca.sources.workspace import cut_lineage, new_folder
 
-# Trees of the registered queries; the functions default to the full benchmark sizes, at which one
-# cross-validation of five models takes hours on a single machine.
-SIZE = models.Size().shrunk(5)
-
 
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(n, 6) for n in names})
@@ -387,7 +383,7 @@ TARGETS = ("EVOLUCAO", "UTI")
 
 def _state_benchmarks(spark: SparkSession, sf: str) -> dict[str, models.StateBenchmark]:
     """The benchmark of each target that has enough rows of both classes."""
-    found = {t: models.state_benchmark(stored_explored(spark, sf), t, size=SIZE) for t in TARGETS}
+    found = {t: models.state_benchmark(stored_explored(spark, sf), t) for t in TARGETS}
     return {t: b for t, b in found.items() if b is not None}
 
 
@@ -422,7 +418,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 def _patient_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Scores of all five models on the test part, written once for what reads them."""
     data = _patient(spark, sf)
-    return cut_lineage(models.fit_patient_models(data, SIZE).score(data.part("test")))
+    return cut_lineage(models.fit_patient_models(data).score(data.part("test")))
 
 
 @query("patient_models")
@@ -445,7 +441,7 @@ def _cv_scores(spark: SparkSession, sf: str) -> DataFrame:
     if key not in _validated:
         data = _patient(spark, sf)
         _validated[key] = cut_lineage(models.cv_scores(
-            models.cross_validate(data.part("train"), data.recipe, size=SIZE)))
+            models.cross_validate(data.part("train"), data.recipe)))
     return _validated[key]
 
 
@@ -458,7 +454,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 def _(spark: SparkSession, sf: str) -> DataFrame:
     data = _patient(spark, sf)
     name = evaluate.best_model(_cv_scores(spark, sf), metric="roc_auc").first()["modelo"]
-    fitted = models.fit_patient_models(data, SIZE)
+    fitted = models.fit_patient_models(data)
     scored = cut_lineage(fitted.score(data.part("test")).filter(F.col("modelo") == name))
     threshold = evaluate.best_threshold(scored, label="OBITO").first()["limiar"]
     path = new_folder(spark, "model")
