@@ -38,14 +38,13 @@ def suffix_array(ids: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray:
 
     ``ids`` are word numbers from 1 on, ``left`` the words from each place to the
     end of its document; the end sorts before every word. Each round triples
-    the sorted depth and looks only at suffixes that are still tied.
+    the sorted depth and looks only at suffixes that are still tied. Three ranks
+    fit one 64-bit key below 2**21 words; longer sequences sort by three keys.
     """
     n = len(ids)
     if not n:
         return np.zeros(0, np.int64)
     bits = np.uint64(21)
-    if n >= 1 << 21:
-        raise ValueError("a shard has at most 2**21 - 1 words")
     rank, sorted_to, step = ids.astype(np.uint64), 1, 1
     order = np.arange(n)
     tied = np.ones(n, bool)            # places in ``order`` that share their rank
@@ -59,15 +58,19 @@ def suffix_array(ids: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray:
             out[near] = rank[at[near] + k]
             return out
 
-        key = rank[at] << (bits + bits) | ahead(step) << bits | ahead(2 * step)
-        by = np.argsort(key, kind="stable")
-        at, key = at[by], key[by]
+        keys = [rank[at], ahead(step), ahead(2 * step)]
+        if n < 1 << 21:
+            keys = [keys[0] << (bits + bits) | keys[1] << bits | keys[2]]
+            by = np.argsort(keys[0], kind="stable")
+        else:
+            by = np.lexsort(keys[::-1])
+        at = at[by]
         order[places] = at
-        new = np.empty(len(key), bool)
-        if len(key):
-            new[0] = True
-            new[1:] = key[1:] != key[:-1]
-        fresh = places[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))] + 1
+        new = np.zeros(len(at), bool)
+        new[:1] = True
+        for key in keys:
+            new[1:] |= key[by[1:]] != key[by[:-1]]
+        fresh = places[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))] + 1
         rank = rank.copy()
         if sorted_to == 1:
             rank[:] = 0
