@@ -462,7 +462,7 @@ def encode_pieces(documents: DataFrame, model: str, id_column: str = "doc_id",
     """Unigram encoding of every whole text, and the text decoded from it.
 
     Returns every column of ``documents``, then ids (array), score (sum of log
-    scores) and decoded. NULL texts stay NULL with no ids; empty ones are empty.
+    scores; a character that becomes bytes or unknown counts the coder's penalty) and decoded. NULL texts stay NULL with no ids; empty ones are empty.
     A mark (U+2581) in a text is no white space: it becomes its bytes and comes back.
     """
     names = documents.columns
@@ -502,15 +502,15 @@ def encode_part(column: pa.Array, coder: Unigram, joined: np.ndarray,
 
     def make(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = where[new]
-        ids, count, _ = coder.encode(data, begin[at], stop[at])
-        return ids, count
+        ids, count, score = coder.encode(data, begin[at], stop[at])
+        return np.insert(ids, np.cumsum(count), score.view(np.int64)), count + 1
 
     at, size = known.look_up(keys, make)
+    size = size - 1                       # the last value of a unit holds the bits of its score
+    score = known.values[at + size].view(np.float64)
     ids = spread(known.values, at, size, which)
     first = np.searchsorted(begin, offsets)
-    counts = sums(size[which], first)
-    value = np.where(coder.scores[ids] > -np.inf, coder.scores[ids], 0.0)
-    return ids, counts, sums(value, np.concatenate(([0], np.cumsum(counts))))
+    return ids, sums(size[which], first), sums(score[which], first)
 
 
 def piece_digests(documents: DataFrame, model: str, id_column: str = "doc_id",
