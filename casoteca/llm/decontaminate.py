@@ -3,7 +3,7 @@
 Each part of a training partition is a shard. Its words become integers, its
 suffixes are sorted, and every suffix of every benchmark item is looked up by
 binary search. A range of the suffix array gives all places where a window of
-the item occurs; its neighbours give the longest verbatim match.
+the item occurs; every suffix with that window is extended at each of them.
 """
 
 from __future__ import annotations
@@ -17,12 +17,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from casoteca.llm.text import ALNUM, LOWER, hashes, parts, text_bytes, word_bounds
+from casoteca.llm.text import ALNUM, LOWER, hashes, parts, segments, text_bytes, word_bounds
 
 #: Words of a window.
 WINDOW = 10
 #: Bytes of benchmark text that one pass over the documents takes along.
 BLOCK_BYTES = 16 << 20
+#: Pairs of suffixes and places that are compared at once.
+PAIRS = 1 << 20
+#: A verbatim match: first word in the item, first word in the document, words.
+MATCH = "struct<item_id: bigint, item_start: bigint, start: bigint, length: bigint>"
 
 
 def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -94,6 +98,7 @@ class Items:
     need: np.ndarray       # words of its window
     length: np.ndarray     # words to the end of its item
     item: np.ndarray       # index of its item
+    inside: np.ndarray     # words before it in its item
 
     @classmethod
     def build(cls, rows: list[tuple[int, str | None]], window: int) -> Items:
@@ -104,7 +109,7 @@ class Items:
         inside = np.arange(suffixes.sum()) - np.repeat(np.cumsum(suffixes) - suffixes, suffixes)
         begin = first[item] + inside
         return cls(np.array([i for i, _ in rows], np.int64), words, begin,
-                   np.minimum(count[item], window), count[item] - inside, item)
+                   np.minimum(count[item], window), count[item] - inside, item, inside)
 
 
 def _compare(ids: np.ndarray, left: np.ndarray, at: np.ndarray, query: np.ndarray,
@@ -141,17 +146,23 @@ def _search(order: np.ndarray, ids: np.ndarray, left: np.ndarray, query: np.ndar
         high[live[~right]] = middle[~right]
 
 
-def search_shard(words: np.ndarray, first: np.ndarray, items: Items, suffixes: np.ndarray,
-                 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Look up the chosen suffixes of ``items`` in one shard.
+@dataclass
+class Shard:
+    """A shard's words as numbers, its items' words in the same numbers, and where windows occur."""
 
-    Returns the suffixes whose window occurs, the range of each in the suffix
-    array, the array, and the words of each one's longest match.
-    """
+    ids: np.ndarray
+    left: np.ndarray       # words from each place to the end of its document
+    query: np.ndarray      # words of the items; -1 if the shard does not have them
+    suffix: np.ndarray     # for each occurrence of a window, the suffix that stands for it
+    place: np.ndarray      # and where it occurs
+
+
+def search_shard(words: np.ndarray, first: np.ndarray, items: Items, suffixes: np.ndarray) -> Shard:
+    """Look up the windows of the chosen suffixes of ``items`` in one shard."""
     known, ids = np.unique(words, return_inverse=True)
     ids = ids + 1
     left = np.repeat(first[1:], np.diff(first)) - np.arange(len(words))
-    order = suffix_array(ids, left, int(items.length.max(initial=1)))
+    order = suffix_array(ids, left, int(items.need.max(initial=1)))
     at = np.searchsorted(known, items.words)
     there = at < len(known)
     there[there] = known[at[there]] == items.words[there]
@@ -161,47 +172,75 @@ def search_shard(words: np.ndarray, first: np.ndarray, items: Items, suffixes: n
     able = gaps[begin + need] == gaps[begin]
     suffixes, begin, need = suffixes[able], begin[able], need[able]
     low = _search(order, ids, left, query, begin, need, False)
-    high = _search(order, ids, left, query, begin, need, True)
-    found = high > low
-    suffixes, begin, low, high = suffixes[found], begin[found], low[found], high[found]
-    whole = items.length[suffixes]
-    close = _search(order, ids, left, query, begin, whole, False)
-    longest = np.zeros(len(suffixes), np.int64)
-    for near in (close - 1, close):
-        fit = (near >= 0) & (near < len(order))
-        same, _ = _compare(ids, left, order[near[fit]], query, begin[fit], whole[fit])
-        longest[fit] = np.maximum(longest[fit], same)
-    return suffixes, low, high, order, longest
-
-
-def _distinct_windows(items: Items) -> tuple[np.ndarray, np.ndarray]:
-    """One suffix of each distinct window to search for, and each suffix's representative."""
-    rows = [tuple(items.words[b:b + n].tolist()) for b, n in zip(items.begin, items.need)]
-    seen: dict[tuple, int] = {}
-    same = np.array([seen.setdefault(r, i) for i, r in enumerate(rows)], np.int64)
-    return np.unique(same), same
-
-
-def _hits(part: pa.RecordBatch, items: Items, chosen: np.ndarray,
-          holders: dict[int, np.ndarray], last: bool) -> pa.RecordBatch:
+    size = _search(order, ids, left, query, begin, need, True) - low
+    place = order[np.repeat(low, size) + segments(size)]
+    return Shard(ids, left, query, np.repeat(suffixes, size), place)
+
+
+@dataclass
+class Windows:
+    """The distinct windows of the items: one suffix stands for all suffixes with the same window."""
+
+    chosen: np.ndarray
+    members: np.ndarray    # all suffixes, those of one window together
+    begin: np.ndarray      # of a chosen suffix's window, in ``members``
+    count: np.ndarray
+
+    @classmethod
+    def build(cls, items: Items) -> Windows:
+        seen: dict[tuple, int] = {}
+        same = np.array([seen.setdefault(tuple(items.words[b:b + n].tolist()), i)
+                         for i, (b, n) in enumerate(zip(items.begin, items.need))], np.int64)
+        count = np.bincount(same, minlength=len(same))
+        return cls(np.unique(same), np.argsort(same, kind="stable"), np.cumsum(count) - count, count)
+
+
+def matches(shard: Shard, items: Items, windows: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Suffix, place and words of every verbatim match that no word before it prolongs.
+
+    A suffix that begins inside such a match has what is left of it.
+    """
+    count = windows.count[shard.suffix]
+    ends = np.cumsum(count)
+    out = [(np.zeros(0, np.int64),) * 3]
+    at = 0
+    while at < len(count):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, side="right")))
+        n = count[at:to]
+        place = np.repeat(shard.place[at:to], n)
+        suffix = windows.members[np.repeat(windows.begin[shard.suffix[at:to]], n) + segments(n)]
+        # the words before both; at a document's first word the one before has a single word left
+        inner = (items.inside[suffix] > 0) & (place > 0) & (shard.left[place - 1] > 1)
+        before = items.begin[suffix] - 1
+        whole = ~(inner & (shard.ids[place - 1] == shard.query[before]))
+        suffix, place = suffix[whole], place[whole]
+        length, _ = _compare(shard.ids, shard.left, place, shard.query, items.begin[suffix],
+                             np.minimum(items.length[suffix], shard.left[place]))
+        out.append((suffix, place, length))
+        at = to
+    return tuple(map(np.concatenate, zip(*out)))
+
+
+def _hits(part: pa.RecordBatch, items: Items, windows: Windows, last: bool) -> pa.RecordBatch:
     """The rows of a part with what this block of the benchmark adds to what earlier ones found."""
     words, first = words_of(part["text"])
-    suffix, low, high, order, longest = search_shard(words, first, items, chosen)
-    size = high - low
-    place = order[np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())]
+    shard = search_shard(words, first, items, windows.chosen)
     reach = np.zeros(len(words) + 1, np.int64)
-    np.add.at(reach, place, 1)
-    np.add.at(reach, place + np.repeat(items.need[suffix], size), -1)
+    np.add.at(reach, shard.place, 1)
+    np.add.at(reach, shard.place + items.need[shard.suffix], -1)
     hit = np.cumsum(reach[:-1]) > 0
+    suffix, place, length = matches(shard, items, windows)
     doc = np.searchsorted(first, place, side="right") - 1
-    found: dict[int, set[int]] = {}
-    for d, s in np.unique(np.stack((doc, np.repeat(suffix, size))), axis=1).T.tolist():
-        found.setdefault(d, set()).update(holders[s].tolist())
-    longest_in = np.asarray(part["longest"], np.int64).copy()
-    np.maximum.at(longest_in, doc, np.repeat(longest, size))
-    lists = part["items"].to_pylist()
+    longest = np.asarray(part["longest"], np.int64).copy()
+    np.maximum.at(longest, doc, length)
+    found: dict[int, set[tuple]] = {}
+    for d, *match in zip(*(x.tolist() for x in (doc, items.item_ids[items.item[suffix]], items.inside[suffix],
+                                                place - first[doc], length))):
+        found.setdefault(d, set()).add(tuple(match))
+    lists, spans = part["items"].to_pylist(), part["matches"].to_pylist()
     for d, more in found.items():
-        lists[d] = sorted(more.union(lists[d]))
+        lists[d] = sorted({m[0] for m in more}.union(lists[d]))
+        spans[d] += [dict(zip(("item_id", "item_start", "start", "length"), m)) for m in sorted(more)]
     for d, bits in enumerate(part["hit"].to_pylist()):
         if bits:
             mine = slice(first[d], first[d + 1])
@@ -213,8 +252,8 @@ def _hits(part: pa.RecordBatch, items: Items, chosen: np.ndarray,
     text = pa.nulls(part.num_rows, pa.string()) if last else part["text"]
     return pa.RecordBatch.from_arrays(
         [part["row"], text, pa.array(bits, pa.binary()), pa.array(np.diff(first)), pa.array(n_hit),
-         pa.array(lists, pa.list_(pa.int64())), pa.array(longest_in)],
-        ["row", "text", "hit", "n_words", "n_hit", "items", "longest"])
+         pa.array(lists, pa.list_(pa.int64())), pa.array(longest), pa.array(spans, part["matches"].type)],
+        ["row", "text", "hit", "n_words", "n_hit", "items", "longest", "matches"])
 
 
 def _blocks(benchmark: DataFrame, id_column: str, text_column: str) -> list[tuple[int, int]]:
@@ -244,35 +283,37 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
 
     Returns one row per document row: the id, n_words, n_hit, items (ids of items
     with occurring windows), n_items, items_sha256 (of those ids sorted as
-    strings and joined by commas), longest_match (words of the longest verbatim
-    match that starts with an occurring window; with several matches of one
-    suffix in a part, the longest of them counts for all), contaminated.
+    strings and joined by commas), longest_match (words of the document's longest
+    verbatim match that starts with a window), contaminated, matches (item_id,
+    item_start, start and length in words of every verbatim match that starts
+    with a window and that no word before it prolongs).
     NULL and empty texts have no words; items without an id are left out;
     repeated documents get a row each; other columns are not looked at.
     """
     found = documents.select(
         F.col(id_column).alias("row"), F.col(text_column).cast("string").alias("text"),
         F.lit(b"").alias("hit"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"),
-        F.array().cast("array<long>").alias("items"), F.lit(0).cast("long").alias("longest"))
+        F.array().cast("array<long>").alias("items"), F.lit(0).cast("long").alias("longest"),
+        F.array().cast(f"array<{MATCH}>").alias("matches"))
     schema = StructType([found.schema["row"], *StructType.fromDDL(
-        "text string, hit binary, n_words long, n_hit long, items array<long>, longest long")])
+        "text string, hit binary, n_words long, n_hit long, items array<long>, longest long, "
+        f"matches array<{MATCH}>")])
     bounds = _blocks(benchmark, item_column, item_text) or [(0, -1)]
     for low, high in bounds:
         block = benchmark.select(F.col(item_column).cast("long"), F.col(item_text).cast("string")) \
             .where(F.col(item_column).between(low, high))
         items = Items.build([tuple(r) for r in block.collect()], window)
-        chosen, same = _distinct_windows(items)
-        holders = {int(c): np.unique(items.item_ids[items.item[same == c]]) for c in chosen}
+        windows = Windows.build(items)
 
-        def run(batches: Iterator[pa.RecordBatch], items: Items = items, chosen: np.ndarray = chosen,
-                holders: dict[int, np.ndarray] = holders,
+        def run(batches: Iterator[pa.RecordBatch], items: Items = items, windows: Windows = windows,
                 last: bool = (low, high) == bounds[-1]) -> Iterator[pa.RecordBatch]:
             for part in parts(batches):
-                yield _hits(part, items, chosen, holders, last)
+                yield _hits(part, items, windows, last)
 
         found = found.mapInArrow(run, schema)
     listed = F.array_sort(F.transform("items", lambda x: x.cast("string")))
     return found.select(
         F.col("row").alias(id_column), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"),
-        (F.col("n_hit") > 0).alias("contaminated"), "items", F.col("longest").alias("longest_match"))
+        (F.col("n_hit") > 0).alias("contaminated"), "items", F.col("longest").alias("longest_match"),
+        "matches")
