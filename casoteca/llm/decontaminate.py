@@ -257,18 +257,25 @@ def _hits(part: pa.RecordBatch, items: Items, windows: Windows, last: bool) -> p
 
 
 def _blocks(benchmark: DataFrame, id_column: str, text_column: str) -> list[tuple[int, int]]:
-    """Bounds of item ids whose texts have at most ``BLOCK_BYTES`` together, one item at least."""
+    """Bounds of item ids whose texts have at most ``BLOCK_BYTES`` together, one id at least.
+
+    A range with more bytes is halved at its median id until its own sum fits.
+    """
     sized = benchmark.select(F.col(id_column).cast("long").alias("item_id"),
-                             F.coalesce(F.octet_length(text_column), F.lit(0)).alias("size"))
-    total = sized.agg(F.sum("size"), F.count("item_id")).first()
-    if not total[1]:
-        return []
-    pieces = int(total[0] // BLOCK_BYTES) + 1
-    if pieces == 1:
-        return [(-(1 << 63), (1 << 63) - 1)]
-    cuts = sized.approxQuantile("item_id", [i / pieces for i in range(1, pieces)], 0.01)
-    edges = sorted({int(c) for c in cuts})
-    return list(zip([-(1 << 63), *[e + 1 for e in edges]], [*edges, (1 << 63) - 1]))
+                             F.coalesce(F.octet_length(F.col(text_column).cast("string")), F.lit(0)).alias("size"))
+    ranges, fit = [(-(1 << 63), (1 << 63) - 1)], []
+    while ranges:
+        low, high = ranges.pop()
+        size, least, most, middle = sized.where(F.col("item_id").between(low, high)).agg(
+            F.sum("size"), F.min("item_id"), F.max("item_id"), F.percentile_approx("item_id", 0.5)).first()
+        if least is None:
+            continue
+        if size <= BLOCK_BYTES or least == most:
+            fit.append((low, high))
+        else:
+            cut = min(middle, most - 1)
+            ranges += [(cut + 1, high), (low, cut)]
+    return fit
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW,

@@ -58,3 +58,15 @@ def test_search_in_chunks_of_pairs(monkeypatch):
     texts = ["a a a a b a a a", "a a a"]
     assert found == {(*m, d) for d, t in enumerate(texts)
                      for m in spans(t, [(1, "a a a a a a"), (2, "b a a a a")], 3)}
+
+
+@pytest.mark.parametrize("sizes", [[10] * 30 + [3000] * 4, [5000, *[1] * 50], [70] * 9])
+def test_blocks_hold_at_most_their_bytes(spark, monkeypatch, sizes):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 200)
+    items = spark.createDataFrame([(3 * i, "é" * (n // 2)) for i, n in enumerate(sizes)] + [(None, "zz"), (1, None)],
+                                  "item_id long, text string")
+    rows = {r[0]: r[1] for r in items.where("item_id is not null").selectExpr(
+        "item_id", "coalesce(octet_length(text), 0)").collect()}
+    blocks = [[i for i in rows if low <= i <= high] for low, high in decontaminate._blocks(items, "item_id", "text")]
+    assert sorted(i for b in blocks for i in b) == sorted(rows)
+    assert all(len(b) == 1 or sum(rows[i] for i in b) <= 200 for b in blocks)
