@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it as
 Parquet and gives the reread table to the next stage. All but the last return the columns of
-``documents``. Stages judge what their predecessor kept, and rows without an id stay.
+``documents``. Stages judge what their predecessor kept, and rows without an id like others.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from casoteca.llm import decontaminate, minhash, pieces, repeats, toxicity
 from casoteca.llm.queries import table
-from casoteca.sources.workspace import new_folder
+from casoteca.sources.workspace import cut_lineage, new_folder
 
 #: Shingle overlap, in percent, from which documents are near duplicates.
 NEAR_PERCENT = 80
@@ -32,9 +32,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group."""
-    gone = minhash.near_duplicates(docs, percent=NEAR_PERCENT).where("kept = false").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Keeps one row of each group, the one with the smallest id.
+
+    Rows are numbered, as several may share an id or have none; a row with an id
+    is kept rather than one without. Rows without words are in no group.
+    """
+    numbered = cut_lineage(docs.select(_whole(docs), F.monotonically_increasing_id().alias("number")))
+    found = minhash.near_duplicates(numbered.select("number", F.col("row.text").alias("text")),
+                                    percent=NEAR_PERCENT, id_column="number")
+    grouped = cut_lineage(found.join(numbered.select("number", F.col("row.doc_id").alias("id")), "number")
+                          .select("number", "component_id", "id"))
+    first = grouped.groupBy("component_id").agg(
+        F.min(F.struct(F.col("id").isNull(), "id", "number")).alias("first")).select("first.number")
+    gone = grouped.select("number").join(first, "number", "left_anti")
+    return numbered.join(gone, "number", "left_anti").select("row.*")
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
