@@ -44,3 +44,28 @@ select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_acc
   sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
 from docs left join per_doc using (row_id)
 """
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+RANKED = f"""
+with docs as (
+  select row_number() over () as row_id, doc_id, regexp_extract_all({_LOWERED.format('text')}, '{_TERM}') as terms
+  from documents),
+used as (select row_id, doc_id, terms, len(terms)::bigint as n from docs where len(terms) > 0),
+sizes as (select count(*)::bigint as total, sum(n)::bigint as words from used),
+wanted as (select distinct item_id, unnest(regexp_extract_all({_LOWERED.format('text')}, '{_TERM}')) as term
+           from benchmark),
+occurrences as (select row_id, term, count(*)::bigint as tf from (select row_id, unnest(terms) as term from used)
+                where term in (select term from wanted) group by row_id, term),
+weights as (select term, floor(1000 * ln((2 * any_value(total) + 2)::double / (2 * count(*) + 1)::double))::bigint as w
+            from occurrences, sizes group by term),
+scored as (
+  select item_id, doc_id, row_id,
+    sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * total) // words))))::bigint as score
+  from wanted join occurrences using (term) join weights using (term) join used using (row_id), sizes
+  group by item_id, doc_id, row_id),
+placed as (select *, row_number() over (partition by item_id order by score desc, doc_id)::integer as rank
+           from scored where score > 0)
+select item_id, rank, doc_id, score from placed where rank <= 10
+"""

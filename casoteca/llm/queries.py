@@ -8,8 +8,8 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from casoteca.llm import (checks, decontaminate, language_model, minhash, pieces, repeats, secret_scan,
-                          token_files, toxicity, transcripts, vectors)
+from casoteca.llm import (checks, decontaminate, language_model, minhash, pieces, ranked_search,
+                          repeats, secret_scan, token_files, toxicity, transcripts, vectors)
 from casoteca.sources.workspace import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,6 +94,11 @@ def op8_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.scores(table(spark, sf_dir, "documents"))
 
 
+@query("op11_document_fp_tree", checks.RANKED)
+def op11_document_fp_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op12_secret_automaton", checks.SECRETS)
 def op12_secret_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
