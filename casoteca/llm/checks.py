@@ -69,3 +69,35 @@ placed as (select *, row_number() over (partition by item_id order by score desc
            from scored where score > 0)
 select item_id, rank, doc_id, score from placed where rank <= 10
 """
+
+_GRAMS = " union all ".join(
+    f"select lang, {k} as words, array_to_string(list[i:i + {k - 1}], ' ') as phrase from "
+    f"(select lang, list, unnest(range(1, len(list) - {k} + 2)) as i from pieces where len(list) >= {k})"
+    for k in range(1, 6))
+
+COLLOCATIONS = f"""
+with pieces as (
+  select lang, [x for x in string_split_regex(piece, '[\\x20\\x09]+') if x <> ''] as list
+  from (select coalesce(lang, 'und') as lang,
+               unnest(string_split_regex({_LOWERED.format('text')}, '[.,;:!?\\x0A-\\x0D]')) as piece from documents)),
+totals as (select lang, sum(len(list))::bigint as n from pieces group by lang),
+counted as (select lang, words, phrase, count(*)::bigint as f from ({_GRAMS}) group by lang, words, phrase
+            having count(*) >= 100),
+candidates as (select lang, words, phrase, f as a, string_split(phrase, ' ') as list from counted where words > 1),
+cuts as (select lang, phrase, a, list, unnest(range(1, words)) as k from candidates),
+halves as (
+  select cuts.lang, cuts.phrase, a, k, one.f as l, other.f as r, n,
+    (1000::hugeint * a * n) // (one.f::hugeint * other.f) as score
+  from cuts join totals using (lang)
+  join counted one on one.lang = cuts.lang and one.phrase = array_to_string(list[1:k], ' ')
+  join counted other on other.lang = cuts.lang and other.phrase = array_to_string(list[k + 1:], ' ')),
+lowest as (select * from halves qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+inside as (
+  select lang, array_to_string(list[i:i + w - 1], ' ') as phrase, max(a) as longer
+  from (select *, unnest(range(1, words - w + 2)) as i
+        from (select *, unnest(range(2, words)) as w from candidates)) group by all),
+kept as (select lowest.* from lowest left join inside using (lang, phrase)
+         where longer is null or 100 * longer < 100 * a),
+placed as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+select lang, rank, phrase, a, l, r, n, score::bigint as score from placed where rank <= 2000
+"""

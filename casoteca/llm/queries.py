@@ -8,8 +8,8 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from casoteca.llm import (checks, decontaminate, language_model, minhash, pieces, ranked_search,
-                          repeats, secret_scan, token_files, toxicity, transcripts, vectors)
+from casoteca.llm import (checks, decontaminate, language_model, minhash, phrases, pieces,
+                          ranked_search, repeats, secret_scan, token_files, toxicity, transcripts, vectors)
 from casoteca.sources.workspace import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -102,3 +102,8 @@ def op11_document_fp_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_secret_automaton", checks.SECRETS)
 def op12_secret_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+
+
+@query("op13_son_phrases", checks.COLLOCATIONS)
+def op13_son_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
