@@ -23,6 +23,8 @@ from casoteca.sources.workspace import cut_lineage
 SHARD_BYTES, LEAST_SHARDS = 48 << 20, 8
 #: Candidates whose hashes go along with the tasks of the second pass; more are joined.
 FEW_CANDIDATES = 4_000_000
+#: Languages up to which their sizes go along with the tasks.
+FEW_LANGUAGES = 100_000
 #: Parts that the phrases of a language are dealt to before the last ranking.
 SALTS = 64
 
@@ -135,10 +137,17 @@ def _shards(documents: DataFrame, lang_column: str, text_column: str) -> DataFra
     rows = documents.select(F.coalesce(F.col(lang_column).cast("string"), F.lit("und")).alias("lang"),
                             F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text")) \
         .withColumn("row", F.monotonically_increasing_id())
-    sizes = rows.groupBy("lang").agg(F.sum(F.octet_length("text").cast("long")).alias("bytes"))
+    sizes = cut_lineage(rows.groupBy("lang").agg(F.sum(F.octet_length("text").cast("long")).alias("bytes")))
     dealt = sizes.select("lang", "bytes", F.greatest(
         F.lit(LEAST_SHARDS), F.ceil(F.col("bytes") / F.lit(SHARD_BYTES))).cast("long").alias("shards"))
-    return rows.join(dealt, "lang").withColumn("shard", F.pmod(F.xxhash64("row"), "shards")).drop("row", "shards")
+    # texts move once, by language and shard together: never by language alone
+    return rows.join(_few(dealt), "lang").withColumn("shard", F.pmod(F.xxhash64("row"), "shards")) \
+        .drop("row", "shards").repartition("lang", "shard")
+
+
+def _few(languages: DataFrame) -> DataFrame:
+    """A table with a row per language, marked for broadcast if a count shows that it is small."""
+    return F.broadcast(languages) if languages.limit(FEW_LANGUAGES + 1).count() <= FEW_LANGUAGES else languages
 
 
 def _mined(shards: DataFrame, longest: int, support: int, some=None, all_phrases: bool = False) -> DataFrame:
@@ -198,7 +207,7 @@ def collocations(documents: DataFrame, longest: int = 5, support: int = 100, top
         .withColumn("rest", F.concat_ws(" ", F.slice(words, F.col("k") + 1, F.col("words") - F.col("k"))))
     halves = cut.join(single.select("lang", F.col("phrase").alias("first"), F.col("count").alias("l")), ["lang", "first"]) \
         .join(single.select("lang", F.col("phrase").alias("rest"), F.col("count").alias("r")), ["lang", "rest"]) \
-        .join(whole, "lang")
+        .join(_few(whole), "lang")
     scored = halves.withColumn("score", F.expr(
         "(cast(1000 as decimal(4,0)) * cast(a as decimal(14,0)) * cast(n as decimal(14,0))) div "
         "(cast(l as decimal(14,0)) * cast(r as decimal(14,0)))"))
