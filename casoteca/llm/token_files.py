@@ -90,12 +90,12 @@ _JOINED = _joined()
 class Encoder:
     """Ids of texts by a tokenizer file; each distinct unit is encoded once."""
 
-    def __init__(self, path: str, limit: int = 700_000):
+    def __init__(self, path: str, limit: int = 1_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known = Known(limit)
+        self.known = Known(limit, np.int32)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has."""
@@ -106,7 +106,9 @@ class Encoder:
                               & (data[:-2] <= 0xDF)) + 2
         wide = wide[np.searchsorted(offsets, wide, "right")
                     == np.searchsorted(offsets, wide - 2, "right")]
-        start = np.union1d(start, wide)
+        begins = np.zeros(len(data), bool)
+        begins[start] = begins[wide] = True
+        start = np.flatnonzero(begins)
         end = np.append(start[1:], len(data))
         keys, where, which = distinct(data, start, end)
 
@@ -139,8 +141,8 @@ def write_token_files(documents: DataFrame, folder: str, tokenizer: str, end_id:
     A shard is one range of document ids; its blocks hold the little-endian ids
     of about 3 MB of text (2 bytes an id while the vocabulary allows), the document
     ids, and the Elias-Fano coded ends of the documents. NULL and empty texts
-    hold ``end_id`` alone. Rows without an id come first. Repeated ids are kept,
-    in no defined order among themselves. Returns the blocks as read back.
+    hold ``end_id`` alone. Rows without an id come first; rows that share an id (or have none) are kept, ordered
+    by text, NULL first. Returns the blocks as read back.
     """
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -164,7 +166,7 @@ def write_token_files(documents: DataFrame, folder: str, tokenizer: str, end_id:
 
     rows = documents.select(F.col(id_column).cast("long").alias("id"),
                             F.col(text_column).cast("string").alias("text"))
-    ordered = rows.repartitionByRange("id").sortWithinPartitions("id")
+    ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
     ordered.mapInArrow(encode, BLOCK_SCHEMA).write.option("compression", "zstd").parquet(folder)
     return documents.sparkSession.read.schema(BLOCK_SCHEMA).parquet(folder)
 

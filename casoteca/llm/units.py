@@ -33,14 +33,14 @@ def distinct(data: np.ndarray, start: np.ndarray,
 class Known:
     """What distinct units became, kept from part to part of a task, up to ``limit`` units."""
 
-    def __init__(self, limit: int = 1_000_000):
-        self.limit = limit
+    def __init__(self, limit: int = 1_000_000, values: type = np.int64):
+        self.limit, self.type = limit, values
         self._clear()
 
     def _clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)
         self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.values = np.zeros(0, np.int64)
+        self.values = np.zeros(0, self.type)
 
     def look_up(self, keys: np.ndarray, make: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]],
                 ) -> tuple[np.ndarray, np.ndarray]:

@@ -46,6 +46,19 @@ def test_token_files(spark, frame, tmp_path):
     assert token_files.read_token_files(empty).count() == 0
 
 
+def test_token_files_of_shared_and_missing_ids(frame, tmp_path):
+    """Rows that share an id, or have none, are written in the order of their texts, whatever order they come in."""
+    rows = [(None, "b"), (4, "x y"), (None, None), (4, None), (4, "x"), (4, "x y"), (None, "a"), (1, "é"), (4, "")]
+    ways = []
+    for k, some in enumerate((rows, rows[::-1])):
+        blocks = token_files.write_token_files(frame(some), str(tmp_path / f"s{k}"), BPE)
+        found = [tuple(r) for r in token_files.read_token_files(blocks).collect()]
+        ways.append(sorted(found, key=lambda r: r[1]))
+    assert ways[0] == ways[1] and [r[0] for r in ways[0]] == [None] * 3 + [1] + [4] * 5
+    ends = [r[1] + r[2] for r in ways[0]]
+    assert [r[1] for r in ways[0]] == [0, *ends[:-1]]
+
+
 def test_token_counts(spark, frame):
     import sentencepiece
 
