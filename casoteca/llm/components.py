@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,3 +53,20 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         raise RuntimeError("the components did not settle")
     return links.select(F.col("a").alias("node"), F.col("b").alias("component")) \
         .unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def over_rows(rows: DataFrame, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``run`` on rows with an ``id``, row by row where several rows share an id.
+
+    ``run`` takes rows with unique (or NULL) ids and returns id, component_id, kept and other columns.
+    If ids repeat, it gets numbers in their place, and a component is named by its smallest id.
+    Rows without an id stay without a number.
+    """
+    if rows.where("id is not null").groupBy("id").count().where("count > 1").isEmpty():
+        return run(rows)
+    numbered = cut_lineage(rows.withColumn("number", F.when(F.col("id").isNotNull(), F.monotonically_increasing_id())))
+    found = cut_lineage(run(numbered.withColumn("id", F.col("number")).drop("number")))
+    named = cut_lineage(found.withColumnRenamed("id", "number").join(numbered.select("number", "id"), "number", "left"))
+    least = named.where("component_id is not null").groupBy("component_id").agg(F.min("id").alias("least"))
+    return named.join(least, "component_id", "left").withColumn("kept", F.col("id") == F.col("least")) \
+        .withColumn("component_id", F.col("least")).select(found.columns)

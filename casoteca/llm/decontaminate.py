@@ -221,9 +221,27 @@ def matches(shard: Shard, items: Items, windows: Windows) -> tuple[np.ndarray, n
     return tuple(map(np.concatenate, zip(*out)))
 
 
+#: The text among the fields of a whole row.
+INSIDE = "_whole_text"
+
+
+def _text(batch: pa.RecordBatch) -> pa.Array:
+    """The text, which the row holds if all columns are asked for."""
+    row = batch["row"]
+    return row.field(INSIDE) if pa.types.is_struct(row.type) and row.type.get_field_index(INSIDE) >= 0 else batch["text"]
+
+
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts by the size of the text, wherever it is."""
+    for batch in batches:
+        sized = pa.RecordBatch.from_arrays([*batch.columns, _text(batch)], [*batch.schema.names, "_sized"])
+        for part in parts(iter([sized]), "_sized"):
+            yield part.select(batch.schema.names)
+
+
 def _hits(part: pa.RecordBatch, items: Items, windows: Windows, last: bool) -> pa.RecordBatch:
     """The rows of a part with what this block of the benchmark adds to what earlier ones found."""
-    words, first = words_of(part["text"])
+    words, first = words_of(_text(part))
     shard = search_shard(words, first, items, windows.chosen)
     reach = np.zeros(len(words) + 1, np.int64)
     np.add.at(reach, shard.place, 1)
@@ -249,7 +267,7 @@ def _hits(part: pa.RecordBatch, items: Items, windows: Windows, last: bool) -> p
     n_hit = total[first[1:]] - total[first[:-1]]
     bits = [np.packbits(hit[a:b]).tobytes() if n and not last else b""
             for a, b, n in zip(first[:-1], first[1:], n_hit)]
-    text = pa.nulls(part.num_rows, pa.string()) if last else part["text"]
+    text = pa.nulls(part.num_rows, pa.string()) if last else part["text"]    # or it is in the row
     return pa.RecordBatch.from_arrays(
         [part["row"], text, pa.array(bits, pa.binary()), pa.array(np.diff(first)), pa.array(n_hit),
          pa.array(lists, pa.list_(pa.int64())), pa.array(longest), pa.array(spans, part["matches"].type)],
@@ -280,7 +298,7 @@ def _blocks(benchmark: DataFrame, id_column: str, text_column: str) -> list[tupl
 
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                   id_column: str = "doc_id", text_column: str = "text",
-                  item_column: str = "item_id", item_text: str = "text") -> DataFrame:
+                  item_column: str = "item_id", item_text: str = "text", whole_rows: bool = False) -> DataFrame:
     """Words of each document that lie in an occurrence of a benchmark window.
 
     Text is compared by lower-cased words of letters and digits. A window is
@@ -295,10 +313,17 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     item_start, start and length in words of every verbatim match that starts
     with a window and that no word before it prolongs).
     NULL and empty texts have no words; items without an id are left out;
-    repeated documents get a row each; other columns are not looked at.
+    repeated documents get a row each; other columns are not looked at. With
+    ``whole_rows`` all columns come back in place of the id, as one named ``row``.
     """
+    text = F.col(text_column).cast("string")
+    if whole_rows:      # the text goes along once, as a part of the row
+        row = F.struct(*(F.col(f"`{c}`") for c in documents.columns if c != text_column), text.alias(INSIDE))
+        text = F.lit(None).cast("string")
+    else:
+        row = F.col(id_column)
     found = documents.select(
-        F.col(id_column).alias("row"), F.col(text_column).cast("string").alias("text"),
+        row.alias("row"), text.alias("text"),
         F.lit(b"").alias("hit"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"),
         F.array().cast("array<long>").alias("items"), F.lit(0).cast("long").alias("longest"),
         F.array().cast(f"array<{MATCH}>").alias("matches"))
@@ -314,13 +339,17 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
 
         def run(batches: Iterator[pa.RecordBatch], items: Items = items, windows: Windows = windows,
                 last: bool = (low, high) == bounds[-1]) -> Iterator[pa.RecordBatch]:
-            for part in parts(batches):
+            for part in _sliced(batches):
                 yield _hits(part, items, windows, last)
 
         found = found.mapInArrow(run, schema)
     listed = F.array_sort(F.transform("items", lambda x: x.cast("string")))
+    if whole_rows:
+        given = F.struct(*(F.col("row").getField(INSIDE if c == text_column else c).alias(c) for c in documents.columns)).alias("row")
+    else:
+        given = F.col("row").alias(id_column)
     return found.select(
-        F.col("row").alias(id_column), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        given, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"), "items", F.col("longest").alias("longest_match"),
         "matches")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casoteca.llm.components import components
+from casoteca.llm.components import components, over_rows
 from casoteca.llm.text import (LOWER, SPACED, hashes, mix, parts, segments, text_bytes, windows,
                                word_bounds)
 from casoteca.sources.workspace import cut_lineage
@@ -208,7 +208,9 @@ def _linked(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int) -
             ok = np.zeros(batch.num_rows, bool)
             for i, (x, y) in enumerate(zip(batch["x"], batch["y"])):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                common = len(x) + len(y) - len(np.unique(np.concatenate((x, y))))
+                z = np.concatenate((x, y))
+                z.sort()
+                common = np.count_nonzero(z[1:] == z[:-1])
                 ok[i] = 100 * common >= percent * (len(x) + len(y) - common)
             keep = pa.array(ok)
             yield pa.RecordBatch.from_arrays([batch["a"].filter(keep), batch["b"].filter(keep)], ["a", "b"])
@@ -222,13 +224,18 @@ def near_duplicates(documents: DataFrame, percent: int = 85, width: int = SHINGL
 
     Returns per document row: the id, n_shingles (size of its set), component_id
     (smallest id reachable by links, itself included), kept (id = component_id).
-    NULL texts and texts without words have empty sets and link with nothing. Ids are
-    taken as unique; a row without an id has no links. Other columns are not
-    looked at.
+    NULL texts and texts without words have empty sets and link with nothing. Rows
+    that share an id are compared like others, row by row; a row without an id has no
+    links. Other columns are not looked at.
     """
-    spark = documents.sparkSession
     rows = documents.select(F.col(id_column).cast("long").alias("id"),
                             F.col(text_column).cast("string").alias("text"))
+    return over_rows(rows, lambda r: _near_rows(r, percent, width)).withColumnRenamed("id", id_column)
+
+
+def _near_rows(rows: DataFrame, percent: int, width: int) -> DataFrame:
+    """``near_duplicates`` of rows with unique ids."""
+    spark = rows.sparkSession
     sketches = cut_lineage(_sketches(rows, width))
     described = sketches.select("id", "n", "d1", "d2")
     heads = cut_lineage(described.where("n > 0 and id is not null").groupBy("d1", "d2", "n")
@@ -273,9 +280,9 @@ def near_duplicates(documents: DataFrame, percent: int = 85, width: int = SHINGL
     per_class = heads.join(groups, "node", "left").select(
         "d1", "d2", "n", F.coalesce("component", "node").alias("component"))
     out = described.join(per_class, ["d1", "d2", "n"], "left")
-    own = F.when(F.col("n") > 0, F.col("component"))
+    own = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component"))
     return out.select(
-        F.col("id").alias(id_column), F.col("n").alias("n_shingles"),
+        "id", F.col("n").alias("n_shingles"),
         F.coalesce(own, F.col("id")).alias("component_id"),
         (F.coalesce(own, F.col("id")) == F.col("id")).alias("kept"))
 

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -256,17 +256,26 @@ _RESULT = ("n_words long, n_removed long, kept_sha256 string, kept string, doc l
            "counts array<int>, sources array<long>, ats array<int>, digests array<binary>, asked array<binary>")
 
 
-def _measure(documents: DataFrame, paths: DataFrame, keep_text: bool) -> DataFrame:
-    """Removes every document's paths and digests the words it was asked about."""
+def _measure(documents: DataFrame, paths: DataFrame, keep_text: bool, inside: str | None) -> DataFrame:
+    """Removes every document's paths and digests the words it was asked about.
+
+    ``inside`` names the field of ``row`` that is the text, which then goes along once only.
+    """
     own = paths.select("doc", F.struct(F.lit(0).alias("role"), *_NAMES[1:]).alias("x"))
     asked = paths.select(F.col("source").alias("doc"), F.struct(
         F.lit(1).alias("role"), F.col("at").alias("start"), "count", F.lit(0).cast("long").alias("source"),
         F.lit(0).alias("at")).alias("x")).distinct()
     wanted = own.unionByName(asked).groupBy("doc").agg(F.sort_array(F.collect_list("x")).alias("wanted"))
-    joined = documents.join(wanted, documents["id"] == wanted["doc"], "left").select("row", "id", "text", "wanted")
+    joined = documents.join(wanted, documents["id"] == wanted["doc"], "left").select(
+        "row", "id", *([] if inside else ["text"]), "wanted")
+
+    def with_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, batch["row"].field(inside)], [*batch.schema.names, "text"]) \
+                if inside else batch
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts(batches):
+        for part in parts(with_text(batches)):
             data, offsets = text_bytes(part["text"])
             start, end, first = word_bounds(data, offsets, SPACED)
             out = {c: [] for c in ("n", "removed", "sha", "kept", "starts", "counts", "sources", "ats", "digests", "asked")}
@@ -292,7 +301,7 @@ def _measure(documents: DataFrame, paths: DataFrame, keep_text: bool) -> DataFra
                 kept = line if keep.all() else _joined_words(data, raw, start[a:b], end[a:b], keep)
                 out["n"].append(int(b - a)), out["removed"].append(int((~keep).sum()))
                 out["sha"].append(hashlib.sha256(kept).hexdigest())
-                out["kept"].append(kept.decode("utf-8", "replace") if keep_text else None)
+                out["kept"].append(kept.decode("utf-8", "replace") if keep_text and not (inside and keep.all()) else None)
                 for name, v in (("starts", s), ("counts", c), ("sources", source), ("ats", at)):
                     out[name].append(v[mine].tolist())
                 k = int(mine.sum())
@@ -326,7 +335,7 @@ def _joined_words(data: np.ndarray, raw: bytes, start: np.ndarray, end: np.ndarr
 
 
 def remove_repeats(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text",
-                   keep_text: bool = False, attempts: int = 3, row: Column | None = None) -> DataFrame:
+                   keep_text: bool = False, attempts: int = 3, whole_rows: bool = False) -> DataFrame:
     """Removes every word covered by a window of 20 words that also starts earlier.
 
     Words are split at white space and unchanged. Earlier means a smaller
@@ -335,10 +344,10 @@ def remove_repeats(documents: DataFrame, id_column: str = "doc_id", text_column:
     kept_sha256 (of the kept words joined by one space), kept (that text, if
     ``keep_text``). NULL and empty texts have no words. Rows without an id keep all
     their words and are no source; so do all rows of a repeated id but the one with
-    the smallest text. Other columns are not looked at; ``row``, if given, is
-    returned in place of the id.
+    the smallest text. Other columns are not looked at. With ``whole_rows`` all columns come back in
+    place of the id, as one named ``row``, and kept is NULL where no word was removed.
     """
-    given = F.col(id_column) if row is None else row
+    given = F.struct(*(F.col(f"`{c}`") for c in documents.columns)) if whole_rows else F.col(id_column)
     rows = documents.select(given.alias("row"), F.col(id_column).cast("long").alias("id"),
                             F.col(text_column).cast("string").alias("text"))
     if not rows.where("id is not null").groupBy("id").count().where("count > 1").isEmpty():
@@ -347,9 +356,9 @@ def remove_repeats(documents: DataFrame, id_column: str = "doc_id", text_column:
     for seed in range(attempts):
         edges = _edges(rows.where("id is not null").select("id", "text"), 100 * seed)
         paths = cut_lineage(_paths(_first_occurrences(edges)))
-        found = cut_lineage(_measure(rows, paths, keep_text))
+        found = cut_lineage(_measure(rows, paths, keep_text, text_column if whole_rows else None))
         if not _mismatches(found):
-            return found.select(F.col("doc_id").alias(id_column if row is None else "row"), "n_words", "n_removed", "kept_sha256", "kept")
+            return found.select(F.col("doc_id").alias("row" if whole_rows else id_column), "n_words", "n_removed", "kept_sha256", "kept")
     raise RuntimeError("edge hashes collided in every attempt; raise EDGE_BYTES")
 
 

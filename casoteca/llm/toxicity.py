@@ -101,16 +101,20 @@ def train(documents: DataFrame, labels: DataFrame, categories: dict[str, str],
     ``categories`` maps each category, in chain order, to a boolean SQL expression
     over ``labels``. At most ``max_labelled`` labelled documents are used, those whose
     ids hash lowest; that bounds the fit, not what is scored. Rows with a NULL
-    category or id are left out; a category with one class only gets a constant model.
+    category or id are left out; a category with one class only gets a constant model. Of
+    labels that share an id the least ones count, of documents that do the least text. Every model
+    looks at the ``MAX_FEATURES`` features that tell most, among those of three documents or more.
     """
     names = list(categories)
     marks = labels.select(F.col(id_column).alias("id"),
                           *(F.expr(e).cast("double").alias(f"y{i}") for i, e in enumerate(categories.values()))) \
-        .where(F.col("id").isNotNull()).dropna().dropDuplicates(["id"])
+        .where(F.col("id").isNotNull()).dropna()
+    marks = marks.groupBy("id").agg(F.min(F.struct(*marks.columns[1:])).alias("y")).select("id", "y.*")
     marks = marks.withColumn("order", F.xxhash64("id")).orderBy("order", "id").limit(max_labelled)
     texts = documents.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
     rows = texts.join(F.broadcast(marks), "id")      # at most ``max_labelled`` rows of three numbers
-    table = cut_lineage(_vectors(rows, buckets).coalesce(FIT_PARTITIONS))
+    rows = rows.groupBy(*marks.columns).agg(F.min("text").alias("text"))
+    table = cut_lineage(_vectors(rows, buckets).coalesce(FIT_PARTITIONS))       # what is scanned is not coalesced
 
     def fit(rows: DataFrame, c: int) -> tuple[np.ndarray, float]:
         """Weights of all buckets and the categories before, and the intercept."""
@@ -185,25 +189,26 @@ def _out_of_fold(table: DataFrame, models: list[tuple[np.ndarray, float]], fold,
 
 
 def score(documents: DataFrame, chain: Chain, buckets: int = BUCKETS, id_column: str = "doc_id",
-          text_column: str = "text") -> DataFrame:
-    """The id and the probability of every category (p_<category>) for every document row.
+          text_column: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The id (or the columns ``keep``) and the probability of every category (p_<category>) for every document row.
 
     NULL and empty texts have no features and get the models' prior. Repeated
     ids keep their rows. The weights go along with the tasks; their size is fixed.
     """
-    names = [f"p_{c}" for c in chain.categories]
+    names, kept = [f"p_{c}" for c in chain.categories], keep or [id_column]
     weights = documents.sparkSession.sparkContext.broadcast(chain)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts(batches):
-            index, first = features(part["text"], buckets)
+        for part in parts(batches, text_column):
+            index, first = features(part[-1], buckets)
             p = weights.value.probabilities(index, first)
-            yield pa.RecordBatch.from_arrays([part["row"], *(pa.array(x) for x in p.T)], ["row", *names])
+            yield pa.RecordBatch.from_arrays([*(part[c] for c in kept), *(pa.array(x) for x in p.T)], [*kept, *names])
 
-    rows = documents.select(F.col(id_column).alias("row"), F.col(text_column).cast("string").alias("text"))
-    schema = StructType([rows.schema["row"], *(StructField(n, DoubleType()) for n in names)])
-    return rows.mapInArrow(run, schema) \
-        .withColumnRenamed("row", id_column)
+    rows = documents.select(*(F.col(f"`{c}`") for c in kept if c != text_column),
+                            F.col(f"`{text_column}`").cast("string"))
+    rows = rows.toDF(*rows.columns[:-1], text_column)          # the text goes along once, as the last column
+    schema = StructType([*(rows.schema[c] for c in kept), *(StructField(n, DoubleType()) for n in names)])
+    return rows.mapInArrow(run, schema)
 
 
 #: The chain of the labelled tables: poor texts first, then toxic ones.

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casoteca.llm.components import components
+from casoteca.llm.components import components, over_rows
 from casoteca.sources.workspace import cut_lineage
 
 #: Vectors of a tile.
@@ -26,6 +26,8 @@ TILE = 512
 STEP = 8
 #: Leading coordinates that make the cells.
 CELL_DIMS = 2
+#: Cells up to which their sizes go along with the tasks.
+FEW_CELLS = 500_000
 #: Room for rounding in bounds; the decision itself is made on the vectors as given.
 SLACK = 1e-9
 
@@ -164,12 +166,17 @@ def near_vectors(table: DataFrame, threshold: float = 0.93, id_column: str = "ve
     directly), component_id (smallest id reachable), kept (id = component_id).
     Vectors that are NULL, zero or hold NULL or non-finite components, and rows
     without a label, link with nothing; vectors of different lengths never link.
-    Ids are taken as unique; a row without an id gets no links. Other columns are
-    not looked at. All pairs of linked vectors are counted inside tile pairs and
+    Rows that share an id are compared like others, row by row; a row without an id gets
+    no links. Other columns are not looked at. All pairs of linked vectors are counted inside tile pairs and
     never written out; only a spanning forest of each tile pair is.
     """
     rows = table.select(F.col(id_column).cast("long").alias("id"), F.col(label_column).cast("string").alias("label"),
                         F.col(vector_column).cast("array<double>").alias("vector"))
+    return over_rows(rows, lambda r: _near_rows(r, threshold)).withColumnRenamed("id", id_column)
+
+
+def _near_rows(rows: DataFrame, threshold: float) -> DataFrame:
+    """``near_vectors`` of rows with unique ids."""
     fit = rows.where(usable("vector", "label") & F.col("id").isNotNull())
     members = cut_lineage(fit.select("id", "label", "vector",
                                      F.transform("vector", lambda x: x + F.lit(0.0)).alias("key")))
@@ -201,9 +208,12 @@ def near_vectors(table: DataFrame, threshold: float = 0.93, id_column: str = "ve
         place, "label string, vector array<double>, node long, size long, width int, c0 long, c1 long, lead double"))
     # Rows of a cell get numbers from a hash split, so that a hot cell is numbered by many tasks.
     cell = ["label", "width", "c0", "c1"]
-    sized = placed.groupBy(*cell).agg(F.count("*").alias("n"))
-    dealt = placed.join(sized, cell).withColumn(
-        "tile", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / (TILE // 2))))
+    sized = cut_lineage(placed.groupBy(*cell).agg(F.count("*").alias("n")))
+    few = sized.limit(FEW_CELLS + 1).count() <= FEW_CELLS
+    dealt = placed.join(F.broadcast(sized) if few else sized, cell).withColumn(
+        "tile", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / (TILE // 2)))) \
+        .repartition(*cell, "tile")        # a cell's tiles are packed by different tasks
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
@@ -238,6 +248,6 @@ def near_vectors(table: DataFrame, threshold: float = 0.93, id_column: str = "ve
         F.coalesce("component", "node").alias("component"))
     per_id = members.join(state.withColumnRenamed("vector", "key"), ["label", "key"]).select("id", "links", "component")
     return rows.select("id").join(per_id, "id", "left").select(
-        F.col("id").alias(id_column), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
+        "id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component", "id").alias("component_id"),
         (F.coalesce("component", "id") == F.col("id")).alias("kept"))
