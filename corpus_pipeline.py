@@ -27,8 +27,8 @@ def _whole(docs: DataFrame):
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that the classifier chain finds toxic."""
     chain = toxicity.train(docs, table(spark, sf_dir, "labels"), toxicity.CATEGORIES)
-    scored = toxicity.score(docs.select(_whole(docs), "text"), chain, id_column="row")
-    return scored.where(F.col("p_toxic") < toxicity.THRESHOLD).select("row.*")
+    scored = toxicity.score(docs, chain, keep=docs.columns)
+    return scored.where(F.col("p_toxic") < toxicity.THRESHOLD).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes passages that start earlier elsewhere; texts without any stay as they are."""
-    kept = repeats.remove_repeats(docs, keep_text=True, row=_whole(docs))
+    kept = repeats.remove_repeats(docs, keep_text=True, whole_rows=True)
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("row.text"))
     new = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.length("kept").cast("long"))
            .otherwise(F.col("row.n_chars"))}
@@ -59,8 +59,7 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents with a verbatim benchmark passage."""
-    found = decontaminate.contamination(docs.select(_whole(docs), "text"), table(spark, sf_dir, "benchmark"),
-                                        id_column="row")
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), whole_rows=True)
     return found.where("not contaminated").select("row.*")
 
 
