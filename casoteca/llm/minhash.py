@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casoteca.llm.components import components, over_rows
-from casoteca.llm.text import (LOWER, SPACED, hashes, mix, parts, segments, text_bytes, windows,
+from casoteca.llm.text import (LOWER, PART_BYTES, SPACED, hashes, mix, parts, segments, text_bytes, windows,
                                word_bounds)
 from casoteca.sources.workspace import cut_lineage
 
@@ -152,7 +152,7 @@ def _lists(first: np.ndarray, values: np.ndarray) -> pa.Array:
 def _sketches(rows: DataFrame, width: int) -> DataFrame:
     """id, n (size of the set), two numbers that stand for the set, a key for each band, parity bits."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts(batches):
+        for part in parts(batches, size=PART_BYTES // 2):
             value, first = shingle_sets(part["text"], width)
             size = np.diff(first)
             totals = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(value ^ np.uint64(s)))))
@@ -172,7 +172,7 @@ def _sketches(rows: DataFrame, width: int) -> DataFrame:
 def _sets(rows: DataFrame, width: int) -> DataFrame:
     """node and the bytes of its set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts(batches):
+        for part in parts(batches, size=PART_BYTES // 2):
             value, first = shingle_sets(part["text"], width)
             raw = value.tobytes()
             sets = pa.array([raw[8 * a:8 * b] for a, b in zip(first[:-1], first[1:])], pa.binary())
@@ -185,7 +185,7 @@ def _sets(rows: DataFrame, width: int) -> DataFrame:
 FEW_ROWS = 2_000_000
 
 
-def _few(table: DataFrame) -> DataFrame:
+def few_rows(table: DataFrame) -> DataFrame:
     """The table, marked for broadcast if a count shows that it is small; else it is shuffled."""
     return F.broadcast(table) if table.limit(FEW_ROWS + 1).count() <= FEW_ROWS else table
 
@@ -199,8 +199,8 @@ def _linked(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int) -
     a, b = (sizes.select(F.col("node").alias(s), *(F.col(c).alias(c + s) for c in ("n", *PARITY))) for s in "ab")
     near = cut_lineage(pairs.join(a, "a").join(b, "b").where(_may_link("a", "b", percent)).select("a", "b"))
     one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")) \
-        .join(_few(near.select("a").distinct()), "a", "left_semi")
-    other = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")).join(_few(near), "b")
+        .join(few_rows(near.select("a").distinct()), "a", "left_semi")
+    other = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")).join(few_rows(near), "b")
     both = other.join(one, "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,9 +247,9 @@ def _near_rows(rows: DataFrame, percent: int, width: int) -> DataFrame:
     buckets = cut_lineage(bands.join(firsts, ["band", "key"]).select("band", "key", "node", "leader"))
     # only documents that share a band with others are read once more, for their full sets
     candidates = cut_lineage(buckets.select(F.col("node").alias("id")).distinct())
-    sizes = cut_lineage(sketches.select("id", "n", *PARITY).join(_few(candidates), "id", "left_semi")
+    sizes = cut_lineage(sketches.select("id", "n", *PARITY).join(few_rows(candidates), "id", "left_semi")
                         .withColumnRenamed("id", "node").distinct())
-    sets = cut_lineage(_sets(rows.join(_few(candidates), "id", "left_semi"), width))
+    sets = cut_lineage(_sets(rows.join(few_rows(candidates), "id", "left_semi"), width))
     links = spark.createDataFrame([], "a long, b long")
     groups = spark.createDataFrame([], "node long, component long")
     compared = links

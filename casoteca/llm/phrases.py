@@ -20,7 +20,7 @@ from casoteca.llm.text import LOWER, byte_table, hashes, mix, parts, segments, t
 from casoteca.sources.workspace import cut_lineage
 
 #: Bytes of text of a shard, and the least number of shards of a language.
-SHARD_BYTES, LEAST_SHARDS = 48 << 20, 8
+SHARD_BYTES, LEAST_SHARDS = 32 << 20, 8
 #: Candidates whose hashes go along with the tasks of the second pass; more are joined.
 FEW_CANDIDATES = 4_000_000
 #: Languages up to which their sizes go along with the tasks.

@@ -29,7 +29,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from casoteca.llm.text import SPACED, hashes, mix, parts, segments, text_bytes, windows, word_bounds
+from casoteca.llm.text import (PART_BYTES, SPACED, hashes, mix, parts, segments, text_bytes, windows,
+                               word_bounds)
 from casoteca.sources.workspace import cut_lineage
 
 WINDOW = 20
@@ -275,7 +276,7 @@ def _measure(documents: DataFrame, paths: DataFrame, keep_text: bool, inside: st
                 if inside else batch
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts(with_text(batches)):
+        for part in parts(with_text(batches), size=PART_BYTES // 2):
             data, offsets = text_bytes(part["text"])
             start, end, first = word_bounds(data, offsets, SPACED)
             out = {c: [] for c in ("n", "removed", "sha", "kept", "starts", "counts", "sources", "ats", "digests", "asked")}

@@ -50,7 +50,10 @@ def seed_of(seed: int) -> np.uint64:
 
 def parts(batches: Iterator[pa.RecordBatch], column: str = "text",
           size: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of about ``size`` bytes of text, never less than one row."""
+    """The same rows in slices of about ``size`` bytes of text, never less than one row.
+
+    At the end, Arrow's unused memory goes back to the system: workers live on for later tasks.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -62,6 +65,7 @@ def parts(batches: Iterator[pa.RecordBatch], column: str = "text",
             to = max(at + 1, int(np.searchsorted(ends, reach, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    pa.default_memory_pool().release_unused()
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -159,7 +163,3 @@ def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """The sum of ``values`` between consecutive entries of ``first``; empty groups give 0."""
     total = np.concatenate(([0], np.cumsum(values)))
     return total[first[1:]] - total[first[:-1]]
-
-
-def column_sources(batch: pa.RecordBatch, names: list[str]) -> list[pa.Array]:
-    return [batch.column(batch.schema.get_field_index(n)) for n in names]

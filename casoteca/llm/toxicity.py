@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from casoteca.llm.text import LOWER, byte_table, hashes, parts, text_bytes, word_bounds
+from casoteca.llm.text import LOWER, PART_BYTES, byte_table, hashes, parts, text_bytes, word_bounds
 from casoteca.sources.workspace import cut_lineage
 
 #: Words of the features: everything but ASCII signs and white space.
@@ -82,7 +82,7 @@ def _vectors(rows: DataFrame, buckets: int) -> DataFrame:
     names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts(batches):
+        for part in parts(batches, size=PART_BYTES // 2):
             index, first = features(part["text"], buckets)
             lists = pa.ListArray.from_arrays(first.astype(np.int32), pa.array(index.astype(np.int32)))
             yield pa.RecordBatch.from_arrays(
@@ -199,7 +199,7 @@ def score(documents: DataFrame, chain: Chain, buckets: int = BUCKETS, id_column:
     weights = documents.sparkSession.sparkContext.broadcast(chain)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts(batches, text_column):
+        for part in parts(batches, text_column, PART_BYTES // 2):
             index, first = features(part[-1], buckets)
             p = weights.value.probabilities(index, first)
             yield pa.RecordBatch.from_arrays([*(part[c] for c in kept), *(pa.array(x) for x in p.T)], [*kept, *names])
