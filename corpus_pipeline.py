@@ -44,8 +44,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
                           .select("number", "component_id", "id"))
     first = grouped.groupBy("component_id").agg(
         F.min(F.struct(F.col("id").isNull(), "id", "number")).alias("first")).select("first.number")
-    gone = grouped.select("number").join(first, "number", "left_anti")
-    return numbered.join(gone, "number", "left_anti").select("row.*")
+    gone = cut_lineage(grouped.select("number").join(first, "number", "left_anti"))
+    return numbered.join(minhash.few_rows(gone), "number", "left_anti").select("row.*")
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
