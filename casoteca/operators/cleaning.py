@@ -39,13 +39,15 @@ def canonical_codes(df: DataFrame) -> DataFrame:
                        for n in df.columns])
 
 
-def dedupe_cases(df: DataFrame) -> DataFrame:
-    """Drop identical rows (NULL equals NULL).
+def dedupe_cases(df: DataFrame, copies: str | None = None) -> DataFrame:
+    """Drop identical rows (NULL equals NULL); ``copies`` names a column for how many there were.
 
     The hash aggregate merges copies on the map side first, so a row repeated
     in a third of the table sends one row per task to the shuffle.
     """
-    return df.dropDuplicates()
+    if copies is None:
+        return df.dropDuplicates()
+    return df.groupBy(*(F.col(f"`{n}`") for n in df.columns)).agg(F.count(F.lit(1)).alias(copies))
 
 
 def _with_numbers(df: DataFrame, *names: str) -> DataFrame:
@@ -104,21 +106,22 @@ def add_derived_columns(df: DataFrame) -> DataFrame:
               .transform(add_calendar).transform(add_etiology))
 
 
-def clean_raw(df: DataFrame) -> DataFrame:
+def clean_raw(df: DataFrame, copies: str | None = None) -> DataFrame:
     """Normalised names, required columns checked, one spelling per code, no copies."""
     return (df.transform(normalize_column_names).transform(validate_required_columns)
-              .transform(canonical_codes).transform(dedupe_cases))
+              .transform(canonical_codes).transform(dedupe_cases, copies))
 
 
-def transform_cases(df: DataFrame, year: int | None = None) -> DataFrame:
+def transform_cases(df: DataFrame, year: int | None = None, copies: str | None = None) -> DataFrame:
     """Raw rows of one year to case rows; the only shuffle is the removal of copies.
 
     With ``year=None`` the frame must already carry an ``ANO`` column, which
-    lets one plan clean many years that share their columns.
+    lets one plan clean many years that share their columns. ``copies`` names a
+    column for the number of raw rows behind a case row.
     """
     if year is not None:
         validate_year(year)
-    cases = df.transform(clean_raw).transform(add_derived_columns)
+    cases = df.transform(clean_raw, copies).transform(add_derived_columns)
     if year is not None:
         cases = cases.withColumn("ANO", F.lit(year).cast("int"))
     elif "ANO" not in cases.columns:

@@ -1,58 +1,53 @@
-"""Ingest jobs: yearly raw files to the case table and its quality report."""
+"""Ingest jobs: yearly raw files to the case table, its quality report and its manifest."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from casoteca.functions import fixed
 from casoteca.operators.cleaning import transform_cases, validate_year
-from casoteca.operators.quality import quality_report
+from casoteca.operators.quality import observed_report, watched
 from casoteca.sources import files
-from casoteca.sources.workspace import delete_path
+from casoteca.sources.workspace import delete_path, path_exists
 
+_COPIES = "__copias"
 
-def pending_years(requested: DataFrame, existing: DataFrame, force: bool = False) -> DataFrame:
-    """Requested years still to be processed; ``force`` keeps those already stored."""
-    wanted = requested.select("ano").distinct()
-    return wanted if force else wanted.join(existing.select("ano").distinct(), "ano", "left_anti")
 
-
-def _report(spark: SparkSession, raws: dict[int, DataFrame], case_root: str,
-            quality_root: str) -> None:
-    # Received rows are counted on the raw files; everything else is read back
-    # from the written table, so the removal of copies is not run twice.
-    raw = files.union_by_name([df.select(F.lit(year).cast("int").alias("ANO"))
-                               for year, df in raws.items()])
-    stored = files.stored_years(spark, case_root)
-    cases = files.read_cases(spark, case_root).filter(F.col("ANO").isin(*raws)) if stored else \
-        transform_cases(raws[min(raws)], min(raws)).limit(0)
-    files.write_quality(quality_report(raw, cases, list(raws)), quality_root)
+def pending_files(found: DataFrame, manifest: DataFrame, force: bool = False) -> DataFrame:
+    """Raw files that are new or have changed since the manifest was written; ``force``: all of them."""
+    return found if force else found.join(manifest, ["ano", "arquivo", "bytes", "modificado"], "left_anti")
 
 
 def ingest_years(spark: SparkSession, inputs: dict[int, str | list[str]], case_root: str,
                  quality_root: str, multi_line: bool = False,
                  encoding: str = "ISO-8859-1") -> list[int]:
-    """Clean and write several years in one job, then their quality report.
+    """Clean and write several years in one job, with their quality report and manifest.
 
-    A year whose file has no records replaces what was stored by nothing, and
+    The raw files are read once: the job that writes the cases also observes the
+    numbers of the report. A year whose file has no records replaces what was stored by nothing, and
     its report counts zeros. ``multi_line`` and ``encoding`` go to ``csv_scan``.
 
     Years keep their own columns until the union, so a column one year lacks
     is NULL there and never a negative answer. Copies are removed within each
     year, hence every output task belongs to one year and writes one file.
+    A job that ends before the manifest is written is run again by the next ``ingest_all``.
     """
-    raws = {validate_year(y): files.csv_scan(spark, path, multi_line=multi_line, encoding=encoding)
-            for y, path in sorted(inputs.items())}
-    if not raws:
+    if not inputs:
         return []
-    cases = files.union_by_name([transform_cases(df, y) for y, df in raws.items()])
-    files.write_cases(cases, case_root)
-    for year, df in raws.items():
-        if df.isEmpty():
-            delete_path(spark, f"{case_root}/ANO={year}")
-    _report(spark, raws, case_root, quality_root)
-    return list(raws)
+    before = files.input_files(spark, {validate_year(y): p for y, p in sorted(inputs.items())})
+    parts, seen = [], {}
+    for year, path in sorted(inputs.items()):
+        raw = files.csv_scan(spark, path, multi_line=multi_line, encoding=encoding)
+        part, seen[year] = watched(transform_cases(raw, year, copies=_COPIES), _COPIES)
+        parts.append(part)
+    files.write_cases(files.union_by_name(parts), case_root)
+    report = observed_report(spark, seen)
+    for row in report.collect():        # a row per year
+        if not row["registros_processados"]:
+            delete_path(spark, f"{case_root}/ANO={row['ano']}")
+    files.write_quality(report, quality_root)
+    files.write_manifest(before.join(report, "ano").select(
+        *before.columns, "registros_recebidos", "registros_processados"), case_root)
+    return list(seen)
 
 
 def ingest_year(spark: SparkSession, path: str | list[str], case_root: str, quality_root: str,
@@ -60,16 +55,16 @@ def ingest_year(spark: SparkSession, path: str | list[str], case_root: str, qual
     """One year; an already stored year is an error unless ``force``."""
     validate_year(year)
     if not force and year in files.stored_years(spark, case_root):
-        raise FileExistsError(
-            f"Ano {year} ja foi processado. Use force=True para reprocessar.")
+        raise FileExistsError(f"O ano {year} existe; force=True o substitui.")
     return ingest_years(spark, {year: path}, case_root, quality_root, **options)
 
 
 def ingest_all(spark: SparkSession, raw_root: str, case_root: str, quality_root: str,
                force: bool = False, **options) -> list[int]:
-    """Every supported year that has a raw file; stored years are skipped unless ``force``."""
-    done = set() if force else set(files.stored_years(spark, case_root))
-    found = {y: files.discover_year_file(spark, raw_root, y)
-             for y in fixed.SUPPORTED_YEARS if y not in done}
-    return ingest_years(spark, {y: p for y, p in found.items() if p}, case_root, quality_root,
-                        **options)
+    """Every supported year with a raw file that is new or has changed; all of them with ``force``."""
+    if not path_exists(spark, raw_root):
+        return []
+    todo = pending_files(files.raw_files(spark, raw_root), files.read_manifest(spark, case_root), force)
+    years = sorted(r["ano"] for r in todo.select("ano").distinct().collect())       # supported years only
+    return ingest_years(spark, {y: files.discover_year_file(spark, raw_root, y) for y in years}, case_root,
+                        quality_root, **options)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from casoteca.functions import columns as C
@@ -22,30 +22,52 @@ def _missing(cases: DataFrame, name: str) -> Column:
     return F.count_if(F.col(name).isNull()) if name in cases.columns else F.count(F.lit(1))
 
 
-def quality_report(raw: DataFrame, cases: DataFrame, years: list[int] = ()) -> DataFrame:
-    """One row per year, from one aggregate over each side; listed ``years`` without rows count zeros.
+def _processed(cases: DataFrame) -> dict[str, Column]:
+    """What the report counts over case rows."""
+    unidentified = (F.col("ETIOLOGIA_DETALHADA") == fixed.NO_AGENT
+                  if "ETIOLOGIA_DETALHADA" in cases.columns else F.lit(False))
+    return {"registros_processados": F.count(F.lit(1)),
+            **{alias: _missing(cases, name) for alias, name in _MISSING_COUNTS.items()},
+            "etiologia_nao_identificada": F.count_if(unidentified)}
+
+
+def _as_report(counted: DataFrame) -> DataFrame:
+    return counted.select(
+        F.col("ANO").alias("ano"), "registros_recebidos", "registros_processados",
+        (F.col("registros_recebidos") - F.col("registros_processados")).alias("duplicados"),
+        *_MISSING_COUNTS, "etiologia_nao_identificada",
+    )
+
+
+def quality_report(raw: DataFrame, cases: DataFrame) -> DataFrame:
+    """One row per year, from one aggregate over each side.
 
     Both frames carry ``ANO``. Rows are removed from ``raw`` only as copies,
     so the copies are the difference of the two counts.
     """
     received = raw.groupBy("ANO").agg(F.count(F.lit(1)).alias("registros_recebidos"))
-    unidentified = (F.col("ETIOLOGIA_DETALHADA") == fixed.NO_AGENT
-                  if "ETIOLOGIA_DETALHADA" in cases.columns else F.lit(False))
-    processed = cases.groupBy("ANO").agg(
-        F.count(F.lit(1)).alias("registros_processados"),
-        *[_missing(cases, name).alias(alias) for alias, name in _MISSING_COUNTS.items()],
-        F.count_if(unidentified).alias("etiologia_nao_identificada"),
-    )
-    if years:
-        listed = raw.sparkSession.createDataFrame([(y,) for y in years], "ANO int")
-        received = listed.join(received, "ANO", "left").na.fill(0, ["registros_recebidos"])
+    processed = cases.groupBy("ANO").agg(*[c.alias(n) for n, c in _processed(cases).items()])
     joined = received.join(processed, "ANO", "left").na.fill(
         0, ["registros_processados", *_MISSING_COUNTS, "etiologia_nao_identificada"])
-    return joined.select(
-        F.col("ANO").alias("ano"), "registros_recebidos", "registros_processados",
-        (F.col("registros_recebidos") - F.col("registros_processados")).alias("duplicados"),
-        *_MISSING_COUNTS, "etiologia_nao_identificada",
-    )
+    return _as_report(joined)
+
+
+def watched(cases: DataFrame, copies: str) -> tuple[DataFrame, Observation]:
+    """The case rows, and the numbers of their report as seen by the job that writes them.
+
+    ``copies`` is the column with the number of raw rows behind each row; so received rows are
+    counted where the final tasks run, once a task, and not where a lost shuffle would be read anew.
+    """
+    seen = Observation()
+    counts = {"registros_recebidos": F.coalesce(F.sum(copies), F.lit(0)), **_processed(cases)}
+    return cases.observe(seen, *[c.alias(n) for n, c in counts.items()]).drop(copies), seen
+
+
+def observed_report(spark: SparkSession, seen: dict[int, Observation]) -> DataFrame:
+    """The report of written years, from what was observed: one row per year."""
+    names = ["registros_recebidos", "registros_processados", *_MISSING_COUNTS, "etiologia_nao_identificada"]
+    rows = [(year, *(int(o.get.get(n) or 0) for n in names)) for year, o in sorted(seen.items())]
+    return _as_report(spark.createDataFrame(rows, "ANO int, " + ", ".join(f"{n} bigint" for n in names)))
 
 
 def invalid_dates(cases: DataFrame, source: str = "DT_SIN_PRI") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from casoteca.functions import fixed
 from casoteca.sources.session import wide_rows
-from casoteca.sources.workspace import first_file, list_paths, path_exists
+from casoteca.sources.workspace import list_paths, path_exists
 
 
 # ---------------------------------------------------------------- CSV
@@ -73,18 +73,43 @@ def discover_year_file(spark: SparkSession, raw_root: str, year: int) -> str | N
     return found[0] if found else None
 
 
-def year_sources(spark: SparkSession, raw_root: str) -> DataFrame:
-    """Number of CSV files in every year folder, from file metadata only.
+_ENTRY = r"/(\d{4})/([^/]+\.csv)(/[^/]*)?$"
 
-    A folder named ``*.csv``, as Spark writes one, counts as one file.
-    """
-    listing = (spark.read.format("binaryFile").option("pathGlobFilter", "*.csv")
-               .option("recursiveFileLookup", True).load(raw_root).select("path"))
-    entry = r"/(\d{4})/([^/]+\.csv)(/[^/]*)?$"
-    found = listing.select(F.regexp_extract("path", entry, 1).try_cast("int").alias("ano"),
-                           F.regexp_extract("path", entry, 2).alias("arquivo")).distinct()
-    return (found.filter(F.col("ano").isin(*fixed.SUPPORTED_YEARS))
-            .groupBy("ano").agg(F.count(F.lit(1)).alias("arquivos")))
+
+def _listed(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """path, length and modificationTime of files, from metadata only."""
+    return (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+            .select("path", "length", "modificationTime"))
+
+
+def _as_files(listing: DataFrame) -> DataFrame:
+    """A row per year and file name; a folder named ``*.csv``, as Spark writes one, counts as one file."""
+    return listing.groupBy("ano", "arquivo").agg(
+        F.sum("length").alias("bytes"), F.max("modificationTime").alias("modificado"))
+
+
+def raw_files(spark: SparkSession, raw_root: str) -> DataFrame:
+    """ano, arquivo, bytes and modificado of the CSV files in the folders of supported years."""
+    listing = _listed(spark, raw_root).where(F.col("path").rlike(r"\.csv$"))
+    return _as_files(listing.select("*", F.regexp_extract("path", _ENTRY, 1).try_cast("int").alias("ano"),
+                                    F.regexp_extract("path", _ENTRY, 2).alias("arquivo"))
+                     .where(F.col("ano").isin(*fixed.SUPPORTED_YEARS)))
+
+
+def input_files(spark: SparkSession, inputs: dict[int, str | list[str]]) -> DataFrame:
+    """As ``raw_files``, for files that are named one by one; their metadata of now."""
+    name = F.coalesce(F.regexp_extract("path", r"/([^/]+\.csv)(/[^/]*)?$", 1), F.lit(""))
+    listed = [_listed(spark, path).where(~F.col("path").rlike(r"/[_.][^/]*$"))
+              .select("*", F.lit(year).alias("ano"),
+                      F.when(name != "", name).otherwise(F.regexp_extract("path", "([^/]+)$", 1)).alias("arquivo"))
+              for year, path in inputs.items()]
+    found = _as_files(reduce(DataFrame.unionByName, listed))
+    return spark.createDataFrame(found.collect(), found.schema)      # a few rows per year, as they are now
+
+
+def year_sources(spark: SparkSession, raw_root: str) -> DataFrame:
+    """Number of CSV files in every year folder, from file metadata only."""
+    return raw_files(spark, raw_root).groupBy("ano").agg(F.count(F.lit(1)).alias("arquivos"))
 
 
 # ---------------------------------------------------------------- case table
@@ -113,19 +138,26 @@ def stored_years(spark: SparkSession, root: str) -> list[int]:
     return [y for y in fixed.SUPPORTED_YEARS if path_exists(spark, f"{root}/ANO={y}")]
 
 
+#: The part of a file name that all files of one write job share.
+_JOB = r"([0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12})"
+
+
 def case_schema(spark: SparkSession, root: str) -> T.StructType:
-    """Union of the yearly schemas, from one file footer per year.
+    """Union of the schemas of all write jobs whose files are there, from one file footer per job.
 
-    Files of one year share their columns because one job wrote them, so
-    reading every footer would be wasted work. One job reads the few footers;
-    a column with different types in two years is an error.
+    Files of one job share their columns and a part of their names, whatever years they belong to;
+    a file named otherwise is looked at itself. One job reads the few footers; a column with different types in
+    two of them is an error.
     """
-    years = stored_years(spark, root)
-    if not years:
-        raise FileNotFoundError(f"Nenhum Parquet de casos encontrado em {root}")
-    samples = [first_file(spark, f"{root}/ANO={year}", ".parquet") for year in years]
-    merged = spark.read.option("mergeSchema", True).parquet(*[p for p in samples if p]).schema
-    return T.StructType([*merged.fields, T.StructField("ANO", T.IntegerType())])
+    if path_exists(spark, root):
+        stored = _listed(spark, root).where(F.col("path").rlike(r"/ANO=[^/]+/[^/_.][^/]*\.parquet$"))
+        job = F.regexp_extract(F.regexp_extract("path", "([^/]+)$", 1), _JOB, 1)
+        samples = stored.groupBy(F.when(job != "", job).otherwise(F.col("path"))).agg(F.min("path").alias("path"))
+        paths = [r["path"] for r in samples.collect()]
+        if paths:
+            merged = spark.read.option("mergeSchema", True).parquet(*paths).schema
+            return T.StructType([*(f for f in merged.fields if f.name != "ANO"), T.StructField("ANO", T.IntegerType())])
+    raise FileNotFoundError(f"Nenhum Parquet de casos encontrado em {root}")
 
 
 def read_cases(spark: SparkSession, root: str) -> DataFrame:
@@ -142,3 +174,24 @@ def write_quality(report: DataFrame, root: str) -> None:
     (report.withColumn("particao", F.col("ano")).coalesce(1)
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("particao").json(root))
+
+
+# ---------------------------------------------------------------- manifest
+
+_MANIFEST = ("ano int, arquivo string, bytes bigint, modificado timestamp, registros_recebidos bigint, "
+             "registros_processados bigint")
+
+
+def write_manifest(entries: DataFrame, root: str) -> None:
+    """What raw files the stored years were made of; only the touched years are replaced."""
+    (entries.withColumn("particao", F.col("ano")).coalesce(1)
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("particao").parquet(f"{root}/_manifesto"))
+
+
+def read_manifest(spark: SparkSession, root: str) -> DataFrame:
+    """The raw files behind the stored years, empty before the first ingest."""
+    path = f"{root}/_manifesto"
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], _MANIFEST)
+    return spark.read.schema(_MANIFEST).parquet(path)

@@ -77,14 +77,3 @@ def fingerprint(spark: SparkSession, paths: list[str]) -> str:
     facts = [(str(s.getPath()), s.getLen(), s.getModificationTime())
              for p in sorted(paths) for s in _glob(spark, p)]
     return hashlib.md5(repr(facts).encode()).hexdigest()[:16]
-
-
-def first_file(spark: SparkSession, folder: str, suffix: str) -> str | None:
-    """Any one file of a folder, without listing all of them."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(path, True)
-    while found.hasNext():
-        name = str(found.next().getPath())
-        if name.endswith(suffix):
-            return name
-    return None

@@ -61,11 +61,68 @@ def test_no_case_table(spark, tmp_path):
         files.read_cases(spark, str(tmp_path / "none"))
 
 
-def test_pending_years(spark):
-    asked = spark.createDataFrame([(2024,), (2025,), (2025,)], "ano int")
-    done = spark.createDataFrame([(2024,)], "ano int")
-    assert rows(ingest.pending_years(asked, done)) == [(2025,)]
-    assert sorted(rows(ingest.pending_years(asked, done, force=True))) == [(2024,), (2025,)]
+def test_changed_files_are_ingested_again(spark, tmp_path):
+    raw, cases, report = (str(tmp_path / n) for n in ("raw", "cases", "quality"))
+    assert ingest.ingest_all(spark, raw, cases, report) == []
+    write(tmp_path / "raw/2024/a.csv", ["3;40;pr;CURITIBA;1;1;2"] * 3)
+    write(tmp_path / "raw/2025/a.csv", [])
+    assert ingest.ingest_all(spark, raw, cases, report) == [2024, 2025]
+    kept = {r.ano: r for r in files.read_manifest(spark, cases).collect()}
+    assert (kept[2024].registros_recebidos, kept[2024].registros_processados) == (3, 1)
+    assert (kept[2025].registros_recebidos, kept[2025].registros_processados) == (0, 0)
+    assert kept[2024].bytes == (tmp_path / "raw/2024/a.csv").stat().st_size
+    assert ingest.ingest_all(spark, raw, cases, report) == []
+    write(tmp_path / "raw/2025/a.csv", ["3;50;MT;X;2;2;1"])
+    assert ingest.ingest_all(spark, raw, cases, report) == [2025]
+    assert ingest.ingest_all(spark, raw, cases, report, force=True) == [2024, 2025]
+    assert sorted(r.ANO for r in files.read_cases(spark, cases).collect()) == [2024, 2025]
+
+
+def test_raw_files_are_read_once(spark, tmp_path):
+    """One job for write, report and manifest: no later job looks at the raw files."""
+    raw, cases, report = (str(tmp_path / n) for n in ("raw", "cases", "quality"))
+    path = write(tmp_path / "raw/2024/a.csv", ["3;40;pr;CURITIBA;1;1;2"] * 5 + ["3;41;pr;CURITIBA;1;;2"])
+    reads = []
+    real = files.csv_scan
+
+    def scan(*args, **named):
+        looked = spark.sparkContext.accumulator(0)
+        reads.append(looked)
+
+        def seen(batches):
+            for batch in batches:
+                looked.add(batch.num_rows)
+                yield batch
+
+        df = real(*args, **named)
+        return df.mapInArrow(seen, df.schema)
+
+    try:
+        files.csv_scan = scan
+        ingest.ingest_year(spark, path, cases, report, 2024)
+    finally:
+        files.csv_scan = real
+    assert [r.value for r in reads] == [6]
+    saved = [json.loads(line) for p in (tmp_path / "quality").rglob("*.json") for line in p.read_text().splitlines()]
+    assert [(d["registros_recebidos"], d["registros_processados"], d["duplicados"], d["evolucao_ausente"])
+            for d in saved] == [(6, 2, 4, 1)]
+
+
+def test_schema_of_every_write(spark, tmp_path, five_cases):
+    """Two files of a year with different columns, and a year no ingest would take, keep all their columns."""
+    root = str(tmp_path / "cases")
+    year = five_cases.filter("ANO = 2025")
+    year.withColumn("A_MAIS", F.lit("x")).write.partitionBy("ANO").parquet(root)
+    year.drop("PCR_VSR").withColumn("OUTRA", F.lit(1)).write.mode("append").partitionBy("ANO").parquet(root)
+    year.select("EVOLUCAO", F.lit(1999).alias("ANO"), F.lit("y").alias("ANTIGA")).write.mode("append") \
+        .partitionBy("ANO").parquet(root)
+    table = files.read_cases(spark, root)
+    assert {"A_MAIS", "OUTRA", "ANTIGA", "PCR_VSR"} <= set(table.columns)
+    assert table.columns.count("ANO") == 1
+    counts = table.agg(F.count("A_MAIS"), F.count("OUTRA"), F.count("ANTIGA"), F.count("*")).first()
+    assert tuple(counts) == (3, 3, 3, 9)
+    files.write_cases(year.drop("PCR_VSR"), root)
+    assert "A_MAIS" not in files.read_cases(spark, root).columns
 
 
 def test_quality_report(text_frame):
