@@ -40,7 +40,7 @@ KMER = 6
 EDGE_BYTES = 6
 _KEY_BITS = 24
 #: Words of a task whose edges are settled together; some 150 bytes of memory each.
-DEAL_WORDS = 750_000
+DEAL_WORDS = 500_000
 
 
 def _runs(words: np.ndarray, first: np.ndarray, seed: int):
@@ -174,11 +174,11 @@ _NAMES = ["doc", "start", "count", "source", "at"]
 def _first_occurrences(edges: DataFrame) -> DataFrame:
     """Spans of edges that occur earlier, with the coordinates of the first occurrence.
 
-    Rows of one key are in one partition; a partition holds its share of all keys
-    and is read as a whole, one number per edge.
+    Rows of one key are in one partition, one after another; some ``DEAL_WORDS`` edges are
+    compared at a time, or all those of one key if it has more.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, docs, starts, counts, raw = [], [], [], [], []
+        held, total = [], 0
         for batch in batches:
             settled = batch["spans"].is_valid()
             done = batch.filter(settled)
@@ -189,40 +189,54 @@ def _first_occurrences(edges: DataFrame) -> DataFrame:
                     [pa.array(np.repeat(np.asarray(done["doc"]), sizes)),
                      *(pa.array(np.ascontiguousarray(spans[c])) for c in _NAMES[1:])], _NAMES)
             rest = batch.filter(pc.invert(settled))
-            if rest.num_rows:
-                data, offsets = text_bytes(rest["edges"])
-                keys.append(np.asarray(rest["key"])), docs.append(np.asarray(rest["doc"]))
-                starts.append(np.asarray(rest["start"]))
-                counts.append(np.diff(offsets) // EDGE_BYTES), raw.append(data)
-        if not keys:
-            return
-        key, doc, start, count = map(np.concatenate, (keys, docs, starts, counts))
-        data = np.concatenate(raw).reshape(-1, EDGE_BYTES)
-        del keys, docs, starts, counts, raw
-        wide = np.zeros((len(data), 8), np.uint8)
-        wide[:, :EDGE_BYTES] = data
-        edge = wide.view("<u8").ravel()
-        row = np.repeat(np.arange(len(key)), count)
-        place = start[row] + segments(count)
-        # the key joins the hash where two of them can be told apart: in a mixed number of 64 bits
-        mixed = mix(edge * np.uint64(0x9E3779B97F4A7C15) + mix(key[row].astype(np.uint64)))
-        _, group, sizes = np.unique(mixed, return_inverse=True, return_counts=True)
-        repeated = np.flatnonzero(sizes[group] > 1)
-        group, d, p = group[repeated], doc[row[repeated]], place[repeated]
-        by = np.lexsort((p, d, group))
-        new = np.ones(len(by), bool)
-        new[1:] = group[by[1:]] != group[by[:-1]]
-        source = np.empty(len(by), np.int64)
-        source[by] = by[np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))] if len(by) else by
-        later = np.flatnonzero(source != np.arange(len(by)))
-        a, b, s, t = d[later], p[later], d[source[later]], p[source[later]]
-        head = np.flatnonzero(~_follows(np.ones(len(a), bool), a, b, s, t))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(a[head]), pa.array(b[head].astype(np.int32)),
-             pa.array(np.diff(np.append(head, len(a))).astype(np.int32)), pa.array(s[head]),
-             pa.array(t[head].astype(np.int32))], _NAMES)
-
-    return edges.repartition("key").mapInArrow(run, _REPEATS)
+            for part in parts(iter([rest]), "edges", DEAL_WORDS * EDGE_BYTES // 4):
+                data, offsets = text_bytes(part["edges"])
+                count = np.diff(offsets) // EDGE_BYTES
+                held.append((np.asarray(part["key"]), np.asarray(part["doc"]), np.asarray(part["start"]), count, data))
+                total += int(count.sum())
+                if total > DEAL_WORDS and held[0][0][0] != held[-1][0][-1]:
+                    rows = _joined(held)
+                    last = int(np.searchsorted(rows[0], rows[0][-1]))     # the last key may go on
+                    at = int(rows[3][:last].sum()) * EDGE_BYTES
+                    yield _compare(*(x[:last] for x in rows[:4]), rows[4][:at])
+                    held = [(*(x[last:].copy() for x in rows[:4]), rows[4][at:].copy())]
+                    total = int(held[0][3].sum())
+        if held:
+            yield _compare(*_joined(held))
+
+    return edges.repartition("key").sortWithinPartitions("key").mapInArrow(run, _REPEATS)
+
+
+def _joined(held: list) -> tuple[np.ndarray, ...]:
+    return tuple(map(np.concatenate, zip(*held)))
+
+
+def _compare(key: np.ndarray, doc: np.ndarray, start: np.ndarray, count: np.ndarray,
+             data: np.ndarray) -> pa.RecordBatch:
+    """Spans of edges that occur earlier among those given."""
+    data = data.reshape(-1, EDGE_BYTES)
+    wide = np.zeros((len(data), 8), np.uint8)
+    wide[:, :EDGE_BYTES] = data
+    edge = wide.view("<u8").ravel()
+    row = np.repeat(np.arange(len(key)), count)
+    place = start[row] + segments(count)
+    # the key joins the hash where two of them can be told apart: in a mixed number of 64 bits
+    mixed = mix(edge * np.uint64(0x9E3779B97F4A7C15) + mix(key[row].astype(np.uint64)))
+    _, group, sizes = np.unique(mixed, return_inverse=True, return_counts=True)
+    repeated = np.flatnonzero(sizes[group] > 1)
+    group, d, p = group[repeated], doc[row[repeated]], place[repeated]
+    by = np.lexsort((p, d, group))
+    new = np.ones(len(by), bool)
+    new[1:] = group[by[1:]] != group[by[:-1]]
+    source = np.empty(len(by), np.int64)
+    source[by] = by[np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))] if len(by) else by
+    later = np.flatnonzero(source != np.arange(len(by)))
+    a, b, s, t = d[later], p[later], d[source[later]], p[source[later]]
+    head = np.flatnonzero(~_follows(np.ones(len(a), bool), a, b, s, t))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(a[head]), pa.array(b[head].astype(np.int32)),
+         pa.array(np.diff(np.append(head, len(a))).astype(np.int32)), pa.array(s[head]),
+         pa.array(t[head].astype(np.int32))], _NAMES)
 
 
 def _paths(repeats: DataFrame) -> DataFrame:

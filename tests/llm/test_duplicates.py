@@ -52,7 +52,9 @@ def removed(rows):
     return out
 
 
-def test_repeats(spark, frame, documents):
+@pytest.mark.parametrize("dealt", [repeats.DEAL_WORDS, 30])
+def test_repeats(spark, frame, documents, monkeypatch, dealt):
+    monkeypatch.setattr(repeats, "DEAL_WORDS", dealt)
     random.seed(5)
     some = [f"w{i}" for i in range(6)]
     base = [random.choice(some) for _ in range(200)]
