@@ -19,6 +19,17 @@ from casoteca.sources.workspace import cut_lineage, new_folder
 NEAR_PERCENT = 80
 
 
+#: Rows that go to Python at a time in sessions that keep Spark's default; whole rows of text
+#: are a few MB then, in the JVM as in the workers.
+BATCH_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def _small_batches(spark: SparkSession) -> None:
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def _whole(docs: DataFrame):
     """All columns of a row as one, so that decisions need no join."""
     return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
@@ -26,6 +37,7 @@ def _whole(docs: DataFrame):
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that the classifier chain finds toxic."""
+    _small_batches(spark)
     chain = toxicity.train(docs, table(spark, sf_dir, "labels"), toxicity.CATEGORIES)
     scored = toxicity.score(docs, chain, keep=docs.columns)
     return scored.where(F.col("p_toxic") < toxicity.THRESHOLD).select(*(F.col(f"`{c}`") for c in docs.columns))
@@ -37,6 +49,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows are numbered, as several may share an id or have none; a row with an id
     is kept rather than one without. Rows without words are in no group.
     """
+    _small_batches(spark)
     numbered = cut_lineage(docs.select(_whole(docs), F.monotonically_increasing_id().alias("number")))
     found = minhash.near_duplicates(numbered.select("number", F.col("row.text").alias("text")),
                                     percent=NEAR_PERCENT, id_column="number")
@@ -50,6 +63,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes passages that start earlier elsewhere; texts without any stay as they are."""
+    _small_batches(spark)
     kept = repeats.remove_repeats(docs, keep_text=True, whole_rows=True)
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("row.text"))
     new = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.length("kept").cast("long"))
@@ -59,12 +73,14 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents with a verbatim benchmark passage."""
+    _small_batches(spark)
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), whole_rows=True)
     return found.where("not contaminated").select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, the piece ids of the text, their score and the text they decode to."""
+    _small_batches(spark)
     coded = pieces.encode_pieces(docs.select("doc_id", "lang", "source", "text"),
                                  public_tokenizers.path("piece_bpe_32k.model"))
     return coded.drop("text")
