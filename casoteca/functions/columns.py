@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 from casoteca.functions import fixed
 
 # A Java double also accepts "1d", "NaN" and hexadecimal; a file's number does not.
-_NUMBER = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
+_NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 _WHOLE = r"^-?\d+$"
 # sign, digits without leading zeros, fraction without trailing zeros
-_SPELLING = r"^\s*\+?(-?)0*(\d+)(?:(\.\d*[1-9])0*|\.0*)?\s*$"
+_SPELLING = (rf"^[{fixed.BLANKS}]*\+?(-?)0*(\d+)(?:(\.\d*[1-9])0*|\.0*)?"
+             rf"[{fixed.BLANKS}]*$")
 _CLOCK_SUFFIX = r"[ T]\d{1,2}:\d{2}.*$"
 
 
@@ -28,7 +29,8 @@ def to_number(c: Column) -> Column:
     raises and catches an exception inside the engine. ``c`` is used once, so
     the optimizer can inline this expression without multiplying its input.
     """
-    return F.regexp_substr(c.cast("string"), F.lit(_NUMBER)).try_cast("double")
+    text = F.trim(c.cast("string"), F.lit(fixed.BLANKS))
+    return F.regexp_substr(text, F.lit(_NUMBER)).try_cast("double")
 
 
 def to_whole(c: Column, kind: str = "bigint") -> Column:
@@ -39,11 +41,12 @@ def to_whole(c: Column, kind: str = "bigint") -> Column:
 def canonical_code(c: Column) -> Column:
     """One spelling per number: ``1.0``, ``01`` and `` 1`` become ``1``; other text is kept.
 
-    Most codes need no change and are told apart by three byte comparisons:
-    blanks, signs, points and zero all sort before ``1``.
+    Most codes need no change and are told apart by a few byte comparisons:
+    blanks, signs, points and zero all sort before ``1``, other blanks behind ``~``.
     """
     text = c.cast("string")
-    suspect = (text < "1") | text.contains(".") | text.endswith(" ")
+    last = F.substring(text, -1, 1)
+    suspect = (text < "1") | (text > "~") | text.contains(".") | (last < "!") | (last > "~")
     return F.when(suspect, F.regexp_replace(text, _SPELLING, "$1$2$3")).otherwise(text)
 
 
@@ -58,14 +61,18 @@ def strip_upper(c: Column) -> Column:
 
 
 def parse_date(c: Column) -> Column:
-    """Day-first date, else ISO date; a value that is neither gives NULL.
+    """Day-first date with slashes or hyphens, else ISO date; a value that is neither gives NULL.
 
-    The shape decides which format is tried, because a failing parse is slow.
+    Years of two digits are those from 1969 to 2068. The shape decides which format is tried, because a failing parse is slow.
     """
-    text = F.trim(c.cast("string"))
+    text = F.trim(c.cast("string"), F.lit(fixed.BLANKS))
     text = F.when(text.contains(":"), F.regexp_replace(text, _CLOCK_SUFFIX, "")).otherwise(text)
-    return (F.when(text.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), F.try_to_date(text, "d/M/yyyy"))
-            .when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(text, "yyyy-MM-dd")))
+    slashed = F.translate(text, "-", "/")
+    short = F.try_to_date(slashed, "d/M/yy")
+    return (F.when(text.rlike(r"^\d{1,2}([/-])\d{1,2}\1\d{4}$"), F.try_to_date(slashed, "d/M/yyyy"))
+            .when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(text, "yyyy-MM-dd"))
+            .when(text.rlike(r"^\d{1,2}([/-])\d{1,2}\1\d{2}$"),
+                  F.when(F.year(short) > 2068, F.add_months(short, -1200)).otherwise(short)))
 
 
 def year_month(date: Column) -> Column:

@@ -54,21 +54,19 @@ def monthly_dense(df: DataFrame, uf: str) -> DataFrame:
     """Monthly counts of the whole table and of one state, gaps filled with zero.
 
     Each series runs from its own first to its own last month and is dated on
-    the month's last day. Rows are reduced to months first; the few months of
-    a series then travel as one map, so the table is scanned once and no
-    calendar is joined back.
+    the month's last day. Rows are reduced to months first; a calendar between
+    the ends of each series is then joined with them.
     """
     counts = (df.filter(F.col("DT_SIN_PRI").isNotNull())
               .groupBy(F.trunc("DT_SIN_PRI", "month").alias("inicio"))
               .agg(F.count(F.lit(1)).alias("TOTAL"), F.count_if(in_state(df, uf)).alias(uf))
               .unpivot("inicio", ["TOTAL", uf], "serie", "n").filter(F.col("n") > 0))
     months = F.sequence(F.min("inicio"), F.max("inicio"), F.expr("interval 1 month"))
-    series = counts.groupBy("serie").agg(
-        months.alias("meses"),
-        F.map_from_entries(F.collect_list(F.struct("inicio", "n"))).alias("contagens"))
-    filled = F.coalesce(F.try_element_at("contagens", F.col("inicio")), F.lit(0))
-    return (series.select("serie", "contagens", F.explode("meses").alias("inicio"))
-            .select("serie", F.last_day("inicio").alias("mes"), filled.alias("casos"))
+    calendar = (counts.groupBy("serie").agg(months.alias("meses"))
+                .select("serie", F.explode("meses").alias("inicio")))
+    return (calendar.join(counts, ["serie", "inicio"], "left")
+            .select("serie", F.last_day("inicio").alias("mes"),
+                    F.coalesce("n", F.lit(0)).alias("casos"))
             .orderBy("serie", "mes"))
 
 

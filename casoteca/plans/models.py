@@ -390,17 +390,22 @@ def _state_benchmarks(spark: SparkSession, sf: str) -> dict[str, models.StateBen
 @query("model_comparison")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     path = new_folder(spark, "metrics")
-    for target, benchmark in _state_benchmarks(spark, sf).items():
+    schema = ("modelo string, acuracia double, precisao double, recall double, f1 double, "
+              "auc double, precisao_media double, alvo string")
+    found = _state_benchmarks(spark, sf)
+    for target, benchmark in found.items():
         benchmark.write_metrics(f"{path}/alvo={target}")
-    return spark.read.option("header", True).csv(
-        path, schema="modelo string, acuracia double, precisao double, recall double, f1 double, "
-        "auc double, precisao_media double, alvo string")
+    if not found:
+        return spark.createDataFrame([], schema)
+    return spark.read.option("header", True).csv(path, schema=schema)
 
 
 @query("feature_importance")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return union_by_name([b.importance().withColumn("alvo", F.lit(t))
-                          for t, b in _state_benchmarks(spark, sf).items()])
+    none = spark.createDataFrame(
+        [], "modelo string, atributo string, importancia double, posicao int, alvo string")
+    return union_by_name([none, *(b.importance().withColumn("alvo", F.lit(t))
+                                  for t, b in _state_benchmarks(spark, sf).items())])
 
 
 @query("pca_components")

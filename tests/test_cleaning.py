@@ -18,6 +18,7 @@ def one(df, *names):
 @pytest.mark.parametrize("text,number", [
     ("1", 1.0), ("1.0", 1.0), (" 2 ", 2.0), ("-1", -1.0), ("1e2", 100.0), (".5", 0.5),
     ("NaN", None), ("1d", None), ("abc", None), ("", None), (None, None), ("0x10", None),
+    ("1\t", 1.0), ("\u00a01", 1.0), ("2\u2003", 2.0),
 ])
 def test_to_number(text_frame, text, number):
     assert one(text_frame([{"a": text, "b": 1}]), C.to_number(F.col("a"))) == (number,)
@@ -26,6 +27,7 @@ def test_to_number(text_frame, text, number):
 @pytest.mark.parametrize("text,code", [
     ("1.0", "1"), ("01", "1"), (" 1", "1"), ("0", "0"), ("1.50", "1.5"), ("100", "100"),
     ("-1.0", "-1"), ("X", "X"), ("4106902.0", "4106902"), (None, None),
+    ("1\t", "1"), ("1\u00a0", "1"), ("\u00a001", "1"), ("9\x1f", "9"), ("\u00c1GUA", "\u00c1GUA"),
 ])
 def test_canonical_code(text_frame, text, code):
     assert one(text_frame([{"a": text, "b": 1}]), C.canonical_code(F.col("a"))) == (code,)
@@ -91,6 +93,8 @@ def test_municipality_code(text_frame, code, number):
 
 
 @pytest.mark.parametrize("text,date", [
+    ("3-4-2025", (2025, 4, 3)), ("3/4/25", (2025, 4, 3)), ("29-02-72", (1972, 2, 29)),
+    ("3/4-2025", None), ("3/4/025", None), ("03/04/2025\u00a0", (2025, 4, 3)),
     ("03/04/2025", (2025, 4, 3)), ("3/4/2025", (2025, 4, 3)), ("2025-03-04", (2025, 3, 4)),
     ("2025-03-04T00:00:00", (2025, 3, 4)), ("29/02/2023", None), ("31/13/2025", None),
     ("abc", None), (None, None),

@@ -98,3 +98,21 @@ def test_blocks_grow_with_the_rows(spark, monkeypatch):
     assert ordered._default_blocks(df) == 150 > few
     out = ordered.running_totals(df, "x", {"n": F.count(F.lit(1))}, by=["g"])
     assert [r.n__acum for r in out.where("g = 1").orderBy("x").collect()] == list(range(1, 1501))
+
+
+@pytest.mark.parametrize("bad", [None, float("nan")])
+def test_missing_scores_are_in_no_cell(spark, bad):
+    df = scored(spark, (1, 0.9), (0, 0.2), (1, bad))
+    for table in (evaluate.confusion_matrix(df), evaluate.classification_report(df, [0.5]),
+                  evaluate.threshold_metrics(df)):
+        with pytest.raises(Exception, match="ausente ou NaN"):
+            table.collect()
+
+
+def test_state_queries_without_enough_rows(spark, monkeypatch):
+    from casoteca.plans import models as plans
+    from casoteca.plans.registry import QUERIES
+    monkeypatch.setattr(plans, "_state_benchmarks", lambda *_: {})
+    for name in ("model_comparison", "feature_importance"):
+        table = QUERIES[name](spark, "")
+        assert table.count() == 0 and "alvo" in table.columns
