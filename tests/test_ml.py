@@ -94,6 +94,13 @@ def test_unknown_category_gives_zeros(spark):
     assert vectors == [[0, 0], [0, 1], [1, 0]]
 
 
+def test_columns_with_too_many_categories_are_an_error(spark):
+    df = spark.range(2_000_000).select(F.col("id").cast("string").alias("wide"), F.lit("a").alias("narrow"))
+    with pytest.raises(ValueError, match="wide") as error:
+        preprocess.fit_preprocessor(df, preprocess.Recipe(categorical=["narrow", "wide"]))
+    assert "narrow" not in str(error.value)
+
+
 def test_most_frequent_breaks_ties_by_value(spark):
     df = spark.createDataFrame([("b",), ("a",), ("a",), ("b",), ("c",)], "x string")
     assert rows(preprocess.most_frequent(df, ["x"])) == [("x", "a")]
