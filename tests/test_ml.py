@@ -1,6 +1,8 @@
 import random
 
 import pytest
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from casoteca.functions import fixed
@@ -222,3 +224,15 @@ def test_patient_models_learn_and_can_be_saved(spark, patients, tmp_path):
     want = {r["CASE_ID"]: r["score"] for r in fitted.score(test).filter(
         F.col("modelo") == name).collect()}
     assert {r["CASE_ID"]: float(r["p"][1]) for r in again.collect()} == pytest.approx(want)
+
+
+def test_models_score_in_a_session_that_has_observed(spark):
+    seen = Observation()
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get == {"n": 3}
+    df = spark.range(40).select(
+        array_to_vector(F.array(F.col("id").cast("double"))).alias("features"),
+        (F.col("id") > 20).cast("int").alias("label"), F.lit(1.0).alias("peso"))
+    for estimator in (models.logistic(40, 5), models.forest(2)):
+        scored = models.fitted(estimator, df).transform(df)
+        assert scored.filter("prediction = label").count() > 30
