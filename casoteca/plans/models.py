@@ -363,8 +363,11 @@ _FLAGS = ("FEBRE", "DISPNEIA", "CARDIOPATI", "OBESIDADE", "DIABETES", "ASMA", "U
 def _(spark: SparkSession, sf: str) -> DataFrame:
     rows = dataset.patient_target(stored_cases(spark, sf))
     recipe, _absent = preprocess.patient_recipe(rows)
-    rows = preprocess.unify_categorical_types(rows, recipe.categorical).withColumn(
+    rows = preprocess.unify_categorical_types(
+        rows.select("CASE_ID", *recipe.numeric, *recipe.categorical), recipe.categorical).withColumn(
         "NU_IDADE_N", F.col("NU_IDADE_N").try_cast("double"))
+    # the statistics below read these rows many times
+    rows = cut_lineage(rows)
     model = preprocess.fit_preprocessor(rows, recipe)
     return _rounded(preprocess.long_form(model.transform(rows),
                                          preprocess.slot_names(model, recipe), ["CASE_ID"]),
