@@ -90,14 +90,15 @@ def add_calendar(df: DataFrame) -> DataFrame:
 
 
 def add_etiology(df: DataFrame) -> DataFrame:
-    classification = (
-        C.final_classification(C.to_number(F.col("CLASSI_FIN")), F.col("CLASSI_FIN").isNotNull())
-        if "CLASSI_FIN" in df.columns else F.lit(fixed.ABSENT))
     labs = {n: F.col(n) for n in fixed.LAB_AGENTS if n in df.columns}
+    classification = F.lit(fixed.ABSENT)
+    if "CLASSI_FIN" in df.columns:
+        df = _with_numbers(df, "CLASSI_FIN")
+        classification = C.final_classification(F.col("__CLASSI_FIN"), F.col("CLASSI_FIN").isNotNull())
     return df.withColumns({
         "CLASSIFICACAO_FINAL_NORMALIZADA": classification,
         "ETIOLOGIA_DETALHADA": C.detailed_etiology(labs),
-    })
+    }).drop("__CLASSI_FIN")
 
 
 def add_derived_columns(df: DataFrame) -> DataFrame:

@@ -135,3 +135,20 @@ def test_optional_features(text_frame):
     df = df.transform(cleaning.add_onset_to_notification).transform(cleaning.add_codetection)
     assert one(df, "TOTAL_COMORBIDADES", "REGIAO", "SINT_ATE_NOTIF", "AGENTES") == (
         2, "SUL", 4, ["VSR", "Rinovirus"])
+
+
+def test_classification_is_parsed_once_a_row(spark):
+    """Every label compares the number; the text behind it is read in a projection of its own."""
+    cases = cleaning.add_etiology(spark.range(5).select(F.col("id").cast("string").alias("CLASSI_FIN")))
+    plan = cases._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract") <= 2 and "__CLASSI_FIN" not in cases.columns
+
+
+@pytest.mark.parametrize("text, number, whole", [
+    ("5", 5.0, 5), ("-07", -7.0, -7), (" 5\n", 5.0, 5), ("5\n", 5.0, 5), ("5\u2028", 5.0, 5), ("5.50", 5.5, None),
+    ("5.0", 5.0, 5), ("-0", 0.0, 0), ("", None, None), ("5x", None, None), ("-", None, None), ("\u0665", None, None),
+    ("9" * 25, 1e25, None), ("0" * 25 + "1", 1.0, 1), (None, None, None)])
+def test_plain_digits_and_other_spellings(text_frame, text, number, whole):
+    row = text_frame([{"c": text, "d": "x"}]).select(
+        C.to_number(F.col("c")).alias("n"), C.to_whole(F.col("c")).alias("w")).first()
+    assert (row["n"], row["w"]) == (number, whole)
