@@ -236,3 +236,11 @@ def test_models_score_in_a_session_that_has_observed(spark):
     for estimator in (models.logistic(40, 5), models.forest(2)):
         scored = models.fitted(estimator, df).transform(df)
         assert scored.filter("prediction = label").count() > 30
+
+
+def test_rows_for_fits_are_in_a_part_for_every_core(spark):
+    few = spark.range(5000).coalesce(1)
+    written = models.for_fits(few, "id")
+    assert written.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    sizes = written.rdd.glom().map(len).collect()
+    assert sum(sizes) == 5000 and max(sizes) < 1000
