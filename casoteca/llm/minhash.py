@@ -34,7 +34,7 @@ BANDS, ROWS = 25, 5
 #: Elements whose permutations are worked on at a time.
 _CHUNK = 1 << 15
 #: Bands of each leader round.
-ROUNDS = ((0, 1), (1, 4), (4, 12), (12, 25))
+ROUNDS = ((0, 2), (2, 25))
 #: Columns of 64 parity bits each; a pair is looked at closer only if these bits allow a link.
 PARITY = [f"p{i}" for i in range(8)]
 
