@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from casoteca.llm.components import components, over_rows
 from casoteca.llm.text import (LOWER, PART_BYTES, SPACED, hashes, mix, parts, segments, text_bytes, windows,
                                word_bounds)
+from casoteca.sources.session import freed_shuffles
 from casoteca.sources.workspace import cut_lineage
 
 SHINGLE = 5
@@ -230,7 +231,8 @@ def near_duplicates(documents: DataFrame, percent: int = 85, width: int = SHINGL
     """
     rows = documents.select(F.col(id_column).cast("long").alias("id"),
                             F.col(text_column).cast("string").alias("text"))
-    return over_rows(rows, lambda r: _near_rows(r, percent, width)).withColumnRenamed("id", id_column)
+    with freed_shuffles(documents.sparkSession):
+        return over_rows(rows, lambda r: _near_rows(r, percent, width)).withColumnRenamed("id", id_column)
 
 
 def _near_rows(rows: DataFrame, percent: int, width: int) -> DataFrame:

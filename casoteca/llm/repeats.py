@@ -31,6 +31,7 @@ from pyspark.sql.types import StructField, StructType
 
 from casoteca.llm.text import (PART_BYTES, SPACED, hashes, mix, parts, segments, text_bytes, windows,
                                word_bounds)
+from casoteca.sources.session import freed_shuffles
 from casoteca.sources.workspace import cut_lineage
 
 WINDOW = 20
@@ -365,15 +366,16 @@ def remove_repeats(documents: DataFrame, id_column: str = "doc_id", text_column:
     given = F.struct(*(F.col(f"`{c}`") for c in documents.columns)) if whole_rows else F.col(id_column)
     rows = documents.select(given.alias("row"), F.col(id_column).cast("long").alias("id"),
                             F.col(text_column).cast("string").alias("text"))
-    if not rows.where("id is not null").groupBy("id").count().where("count > 1").isEmpty():
-        first = F.row_number().over(Window.partitionBy("id").orderBy("text")) == 1
-        rows = rows.withColumn("id", F.when(first, F.col("id")))
-    for seed in range(attempts):
-        edges = _edges(rows.where("id is not null").select("id", "text"), 100 * seed)
-        paths = cut_lineage(_paths(_first_occurrences(edges)))
-        found = cut_lineage(_measure(rows, paths, keep_text, text_column if whole_rows else None))
-        if not _mismatches(found):
-            return found.select(F.col("doc_id").alias("row" if whole_rows else id_column), "n_words", "n_removed", "kept_sha256", "kept")
+    with freed_shuffles(documents.sparkSession):     # edges and texts are each shuffled about once
+        if not rows.where("id is not null").groupBy("id").count().where("count > 1").isEmpty():
+            first = F.row_number().over(Window.partitionBy("id").orderBy("text")) == 1
+            rows = rows.withColumn("id", F.when(first, F.col("id")))
+        for seed in range(attempts):
+            edges = _edges(rows.where("id is not null").select("id", "text"), 100 * seed)
+            paths = cut_lineage(_paths(_first_occurrences(edges)))
+            found = cut_lineage(_measure(rows, paths, keep_text, text_column if whole_rows else None))
+            if not _mismatches(found):
+                return found.select(F.col("doc_id").alias("row" if whole_rows else id_column), "n_words", "n_removed", "kept_sha256", "kept")
     raise RuntimeError("edge hashes collided in every attempt; raise EDGE_BYTES")
 
 

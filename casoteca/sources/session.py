@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -19,16 +19,33 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
 }
 
+# Shuffle files of a job stay on the executors' disks until the driver happens to collect its
+# garbage. With this setting (Spark 4.1) they go when the job has ended.
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 @contextmanager
-def wide_rows(spark: SparkSession) -> Iterator[None]:
-    """Run a job over wide rows with compilable methods, then restore the setting."""
-    before = spark.conf.get(_LIMIT, None)
-    spark.conf.set(_LIMIT, _COMPILABLE)
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         if before is None:
-            spark.conf.unset(_LIMIT)
+            spark.conf.unset(key)
         else:
-            spark.conf.set(_LIMIT, before)
+            spark.conf.set(key, before)
+
+
+def wide_rows(spark: SparkSession) -> AbstractContextManager[None]:
+    """Run a job over wide rows with compilable methods, then restore the setting."""
+    return _setting(spark, _LIMIT, _COMPILABLE)
+
+
+def freed_shuffles(spark: SparkSession) -> AbstractContextManager[None]:
+    """Run jobs whose shuffle files go at their end, then restore the setting.
+
+    For results that are written or counted: a DataFrame that runs a second time under it
+    has to shuffle again.
+    """
+    return _setting(spark, _FREE, "true")

@@ -5,6 +5,9 @@ from __future__ import annotations
 import hashlib
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,14 +40,33 @@ def new_folder(spark: SparkSession, purpose: str) -> str:
     return f"{shared_root(spark)}/casoteca/{app}/{purpose}-{uuid.uuid4().hex[:12]}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+_passing: ContextVar[list[str] | None] = ContextVar("passing", default=None)
+
+
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[None]:
+    """Deletes, when all is done, what ``cut_lineage`` has written inside, but for tables to keep."""
+    paths: list[str] = []
+    token = _passing.set(paths)
+    try:
+        yield
+    finally:
+        _passing.reset(token)
+        for path in paths:
+            delete_path(spark, path)
+
+
+def cut_lineage(df: DataFrame, keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder as a table and read it back.
 
     Iterative fits read their input many times; a written table survives the
-    loss of executors, unlike a cached one, and keeps column pruning.
+    loss of executors, unlike a cached one, and keeps column pruning. ``keep`` is
+    for what outlasts ``passing_tables``.
     """
     spark = df.sparkSession
     path = new_folder(spark, "table")
+    if not keep and (passing := _passing.get()) is not None:
+        passing.append(path)
     with wide_rows(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

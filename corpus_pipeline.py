@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from casoteca.llm import decontaminate, minhash, pieces, repeats, toxicity
 from casoteca.llm.queries import table
-from casoteca.sources.workspace import cut_lineage, new_folder
+from casoteca.sources.session import freed_shuffles
+from casoteca.sources.workspace import cut_lineage, new_folder, passing_tables
 
 #: Shingle overlap, in percent, from which documents are near duplicates.
 NEAR_PERCENT = 80
@@ -50,15 +51,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     is kept rather than one without. Rows without words are in no group.
     """
     _small_batches(spark)
-    numbered = cut_lineage(docs.select(_whole(docs), F.monotonically_increasing_id().alias("number")))
-    found = minhash.near_duplicates(numbered.select("number", F.col("row.text").alias("text")),
-                                    percent=NEAR_PERCENT, id_column="number")
-    grouped = cut_lineage(found.join(numbered.select("number", F.col("row.doc_id").alias("id")), "number")
-                          .select("number", "component_id", "id"))
-    first = grouped.groupBy("component_id").agg(
-        F.min(F.struct(F.col("id").isNull(), "id", "number")).alias("first")).select("first.number")
-    gone = cut_lineage(grouped.select("number").join(first, "number", "left_anti"))
-    return numbered.join(minhash.few_rows(gone), "number", "left_anti").select("row.*")
+    with freed_shuffles(spark), passing_tables(spark):
+        numbered = cut_lineage(docs.select(_whole(docs), F.monotonically_increasing_id().alias("number")), keep=True)
+        found = minhash.near_duplicates(numbered.select("number", F.col("row.text").alias("text")),
+                                        percent=NEAR_PERCENT, id_column="number")
+        grouped = cut_lineage(found.join(numbered.select("number", F.col("row.doc_id").alias("id")), "number")
+                              .select("number", "component_id", "id"))
+        first = grouped.groupBy("component_id").agg(
+            F.min(F.struct(F.col("id").isNull(), "id", "number")).alias("first")).select("first.number")
+        gone = minhash.few_rows(cut_lineage(grouped.select("number").join(first, "number", "left_anti"), keep=True))
+    return numbered.join(gone, "number", "left_anti").select("row.*")
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
