@@ -99,3 +99,40 @@ def test_shard_counts_all_phrases():
         assert len(np.unique(value)) == len(value)
         got |= dict(zip(shard.texts(begin, length).to_pylist(), count.tolist()))
     assert got == dict(f)
+
+
+def test_more_text_of_a_language_makes_no_more_candidates(spark, monkeypatch):
+    """Shards in many pieces keep their share of the support, so what is written stays far below all phrases."""
+    monkeypatch.setattr(phrases, "SHARD_BYTES", 500)
+    monkeypatch.setattr(phrases, "LEAST_SHARDS", 2)
+    written, real = [], phrases.cut_lineage
+
+    def counted(df, *args, **named):
+        table = real(df, *args, **named)
+        written.append(table.count())
+        return table
+    monkeypatch.setattr(phrases, "cut_lineage", counted)
+    rows = [("a", t) for t in texts(300)]
+    found = phrases.collocations(build(spark, rows), longest=4, support=40)
+    assert sorted(map(tuple, found.collect())) == plain(rows, 4, 40, 2000, 100)
+    f = Counter(" ".join(w[i:i + k]) for _, t in rows for w in pieces(t) for k in range(1, 5) for i in range(len(w) - k + 1))
+    assert max(written) < len(f) / 4
+
+
+def test_pieces_count_like_one_text():
+    some = texts(60)
+    whole = phrases.Tally(pa.chunked_array([pa.array(some)]))
+    f = Counter(" ".join(w[i:i + k]) for t in some for w in pieces(t) for k in range(1, 4) for i in range(len(w) - k + 1))
+    lengths, values, counts = zip(*whole.counts(1, 3, None))
+    value, count = np.sort(np.concatenate(values)), np.concatenate(counts)
+    assert lengths == (1, 2, 3) and sorted(count.tolist()) == sorted(f.values())
+    shard = phrases.Shard(pa.chunked_array([pa.array(some)]))
+    assert sorted(np.concatenate([v for _, _, _, v in shard.phrases(3, 1, None)]).tolist()) == value.tolist()
+    kept = phrases._unpacked(phrases._packed(value))
+    assert (kept == value >> np.uint64(24) << np.uint64(24)).all()
+    table = np.zeros(1 << phrases.PLACE_BITS - 3, np.uint8)
+    for k, data in phrases._places(kept[::2]):
+        place = np.frombuffer(data, np.uint32)
+        assert (place // ((1 << phrases.PLACE_BITS) // phrases.SLICES) == k).all()
+        np.bitwise_or.at(table, place >> 3, (1 << (place & 7)).astype(np.uint8))
+    assert phrases._among(table, value[::2]).all() and not phrases._among(table, value[1::2]).any()
